@@ -4,8 +4,8 @@ Steps:
 
 1. One pass over the texts gives each document the size and digest of its shingle set and the hashes of
    its signature's bands. Equal sets fall into one class, carried on by its least ``doc_id``.
-2. Classes that share a band are candidates. Each class is first checked against the least class it meets
-   (one pair a class), on whole shingle sets; links are grouped by union-find.
+2. Classes that share a band are candidates. Each class is first checked against one class that leads most of its
+   buckets (one pair a class), on whole shingle sets; links are grouped by union-find.
 3. Buckets whose classes are not yet in one component are compared further: the classes outside the
    bucket's main component, in blocks, against all of the bucket, in blocks. Pairs already connected or
    of too different sizes are skipped; every other pair is decided on whole sets. So no link that shares
@@ -182,7 +182,8 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BA
         fits = F.least(F.length("ma"), F.length("mb")) * 100 >= F.greatest(F.length("ma"), F.length("mb")) * percent
         return both.where(fits).mapInArrow(_verified(percent), "a long, b long")
 
-    star = members.where("first <> rep").groupBy("rep").agg(F.min("first").alias("a")).select("a", F.col("rep").alias("b"))
+    meet = members.where("first <> rep").groupBy("rep", "first").count()
+    star = meet.groupBy("rep").agg(F.max_by("first", F.struct("count", -F.col("first"))).alias("a")).select("a", F.col("rep").alias("b"))
     links = stage.write(check(star), "links-star")
     comp = stage.write(components(links, stage, "cc-star"), "comp-star")
     placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
@@ -191,7 +192,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BA
     open_ = (
         parts.groupBy("bucket")
         .agg(F.max_by("comp", F.struct("size", -F.col("comp"))).alias("main"), F.count("*").alias("k"), F.sum("size").alias("total"), F.sum("mark").alias("mark"), F.max("size").alias("top"))
-        .where("k > 1 and total > 2")
+        .where("k > 1")
     )
     open_ = open_.groupBy("total", "mark").agg(F.min(F.struct("bucket", "main", "top")).alias("o")).select("o.*", "total")  # equal buckets of several bands once
     todo = placed.join(open_, "bucket").withColumns({"nl": F.ceil((F.col("total") - F.col("top")) / BLOCK).cast("int"), "nr": F.ceil(F.col("total") / BLOCK).cast("int"), "h": F.xxhash64("rep")})
