@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from fathom.llm import near_dedup
+from fathom.llm import bpe, embedding_dedup, near_dedup, substring
 
 QUERIES = {
+    "op3_bpe_trie": bpe.op3,
     "op6_near_dedup": near_dedup.op6,
+    "op7_embedding_dedup": embedding_dedup.op7,
+    "op9_repeated_passages": substring.op9,
 }
 
 ORACLES: dict[str, str] = {}
