@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from fathom.llm import bpe, embedding_dedup, near_dedup, substring
+from fathom.llm import bpe, embedding_dedup, near_dedup, substring, token_files, topk
 
 QUERIES = {
+    "op2_topk_bitslices": topk.op2,
     "op3_bpe_trie": bpe.op3,
+    "op4_token_files": token_files.op4,
     "op6_near_dedup": near_dedup.op6,
     "op7_embedding_dedup": embedding_dedup.op7,
     "op9_repeated_passages": substring.op9,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_topk_bitslices": topk.SQL,
+}
