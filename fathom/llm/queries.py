@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fathom.llm import bpe, embedding_dedup, near_dedup, substring, token_files, topk
+from fathom.llm import bpe, embedding_dedup, mixing, near_dedup, substring, token_files, topk
 
 QUERIES = {
+    "op1_pfair_mixing": mixing.op1,
     "op2_topk_bitslices": topk.op2,
     "op3_bpe_trie": bpe.op3,
     "op4_token_files": token_files.op4,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_pfair_mixing": mixing.SQL,
     "op2_topk_bitslices": topk.SQL,
 }
