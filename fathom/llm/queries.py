@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathom.llm import bpe, embedding_dedup, mixing, near_dedup, substring, token_files, topk
+from fathom.llm import bpe, embedding_dedup, mixing, near_dedup, pii, substring, token_files, topk
 
 QUERIES = {
     "op1_pfair_mixing": mixing.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_files": token_files.op4,
     "op6_near_dedup": near_dedup.op6,
     "op7_embedding_dedup": embedding_dedup.op7,
+    "op8_pii_weak_supervision": pii.op8,
     "op9_repeated_passages": substring.op9,
 }
 
