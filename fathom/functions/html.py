@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from fathom.functions.text import collapse_whitespace, trim
 
@@ -108,7 +109,7 @@ def excerpt_of(page: str | None, most: int = 300) -> str | None:
     return " ".join(words[:most]) or None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def excerpt(pages: pd.Series) -> pd.Series:
     """The first 300 readable words of each page."""
     return pages.map(excerpt_of)
