@@ -111,6 +111,24 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+_BASE = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
+_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
+def rolling_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of `size` words, from prefix sums of a polynomial; nothing for fewer words."""
+    global _powers
+    n = len(words)
+    if n < size:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        if len(_powers[0]) < n:
+            most = max(n, 4096)
+            _powers = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(most, b, np.uint64))]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers[0][:n])])
+        return mix64((sums[size:] - sums[:-size]) * _powers[1][: n - size + 1] + np.uint64(size))
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 texts of an Arrow string column, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

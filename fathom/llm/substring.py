@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import Stage, WordHashes, in_batches, read, shingle_hashes, texts
+from fathom.llm.common import Stage, WordHashes, in_batches, read, rolling_hashes, texts
 
 WINDOW, ANCHOR = 35, 8
 _LOW = np.uint64((1 << 24) - 1)
@@ -49,7 +49,7 @@ def _segments(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray,
     if n < 1:
         empty = np.empty(0, np.int64)
         return empty, empty, empty
-    grams = shingle_hashes(words, anchor)
+    grams = rolling_hashes(words, anchor)
     at = np.arange(len(grams), dtype=np.uint64) & _LOW
     low = _sliding_min((grams & ~_LOW) | at, window - anchor + 1)
     where = np.arange(n) + (((low & _LOW).astype(np.int64) - np.arange(n)) & int(_LOW))
@@ -102,12 +102,15 @@ def _windows(window: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ks, ss, cs, offs, ws = [], [], [], [], []
-                for k, s, c, seg in zip(*(part.column(x).to_pylist() for x in ("k", "s", "c", "seg"))):
-                    w = shingle_hashes(hashes(seg.split()), window).view(np.int64)
-                    ws.append(w), offs.append(np.arange(len(w), dtype=np.int32)), ks.append(np.full(len(w), k)), ss.append(np.full(len(w), s)), cs.append(np.full(len(w), c))
-                if ws:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ks, ws, ss, offs, cs)], ["k", "w", "s", "off", "c"])
+                parts = [x.split() for x in part.column("seg").to_pylist()]
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+                w = rolling_hashes(hashes([x for p in parts for x in p]), window).view(np.int64)
+                # windows that lie in one segment: all but the last window - 1 starts of each
+                each = sizes - window + 1
+                off = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                start = np.repeat(np.cumsum(sizes) - sizes, each) + off
+                row = pa.array(np.repeat(np.arange(len(parts)), each))
+                yield pa.RecordBatch.from_arrays([part.column("k").take(row), pa.array(w[start]), part.column("s").take(row), pa.array(off.astype(np.int32)), part.column("c").take(row)], ["k", "w", "s", "off", "c"])
 
     return run
 
@@ -170,7 +173,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     rows = docs.select("doc_id", "text", F.xxhash64("text", F.col("doc_id").isNull()).alias("h"))
     scan = stage.write(rows.mapInArrow(_scan(window, anchor), "doc_id long, h long, n_words long, sha string, segments array<struct<k: long, i: int, n: int>>"), "scan")
     segments = scan.select(*key, F.explode("segments").alias("s")).select("d", "h", "s.k", "s.i", "s.n")
-    recurring = segments.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+    recurring = stage.write(segments.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "recurring")
     found = segments.join(recurring, "k").groupBy("d", "h").agg(F.collect_set(F.struct("k", "i", "n")).alias("found"))
     candidates = stage.write(rows.select(*key, "text").join(found, ["d", "h"]), "candidates")
     placed = stage.write(candidates.mapInArrow(_segment_texts(window), "k long, d long, h long, i int, n int, seg binary").withColumn("s", F.xxhash64("seg")), "segments")
@@ -180,10 +183,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     # windows of a segment that is there twice recur whatever else there is; the others are looked up
     alone = windows.where("c = 1").join(counted.where("total > 1").select("k", "w"), ["k", "w"], "left_semi").select("k", "s", "off", (F.col("off") + 1).alias("to"))
     whole = windows.where("c > 1").groupBy("k", "s").agg(F.lit(0).alias("off"), (F.max("off") + 1).alias("to"))
-    confirmed = stage.write(alone.unionByName(whole).groupBy("k", "s").agg(F.collect_list(F.struct("off", "to")).alias("runs")), "confirmed")
+    # of each segment the windows that recur, as one run where they are consecutive
+    runs = alone.unionByName(whole).groupBy("k", "s").agg(F.min("off").alias("first"), F.max("to").alias("past"), F.sum(F.col("to") - F.col("off")).alias("n"), F.collect_list(F.struct("off", "to")).alias("runs"))
+    one = F.array(F.struct(F.col("first").alias("off"), F.col("past").alias("to")))
+    confirmed = stage.write(runs.select("k", "s", F.when(F.col("n") == F.col("past") - F.col("first"), one).otherwise(F.col("runs")).alias("runs")), "confirmed")
     stage.drop("windows")
     ranges = placed.select("k", "s", "d", "h", "i").join(confirmed, ["k", "s"]).select("d", "h", F.transform("runs", lambda r: F.struct((F.col("i") + r["off"]).alias("i"), (F.col("i") + r["to"]).alias("j"))).alias("runs"))
-    per_doc = ranges.groupBy("d", "h").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("ranges"))
+    per_doc = ranges.groupBy("d", "h").agg(F.flatten(F.collect_list("runs")).alias("ranges"))
     located = candidates.select("d", "h", "text").join(per_doc, ["d", "h"]).mapInArrow(_remove(window), "d long, h long, n_removed long, kept string")
     changed = stage.write(located.dropDuplicates(["d", "h"]), "changed")
     for name in ("candidates", "segments", "confirmed"):
