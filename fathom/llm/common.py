@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,7 +44,12 @@ class Stage:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        schema = df.schema
+        del df
+        # Shuffle files go once nothing refers to their plans; without this the driver may not collect for long.
+        gc.collect()
+        self.spark._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         """Remove a table that no later step reads."""

@@ -176,6 +176,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     recurring = stage.write(segments.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "recurring")
     found = segments.join(recurring, "k").groupBy("d", "h").agg(F.collect_set(F.struct("k", "i", "n")).alias("found"))
     candidates = stage.write(rows.select(*key, "text").join(found, ["d", "h"]), "candidates")
+    stage.drop("recurring")
     placed = stage.write(candidates.mapInArrow(_segment_texts(window), "k long, d long, h long, i int, n int, seg binary").withColumn("s", F.xxhash64("seg")), "segments")
     distinct = placed.groupBy("k", "s", "seg").agg(F.count("*").alias("c"))
     windows = stage.write(distinct.mapInArrow(_windows(window), "k long, w long, s long, off int, c long"), "windows")
