@@ -1,8 +1,7 @@
 """Ranked search: lexical coverage, vector similarity, their fusion, click feedback, browsing and suggestions.
 
 Every operator takes a batch of queries and keeps its windows within a query. A query's candidates are the records
-that share a token prefix with it (an inverted index joined by prefix) and those above the similarity floor, so no
-query meets all records' text.
+with a token that one of its own starts, found by a lookup in the batch, and those above the similarity floor.
 """
 
 from __future__ import annotations
@@ -77,28 +76,35 @@ def prepared(queries: DataFrame) -> DataFrame:
     return q.where(F.size("q_tokens") > 0)
 
 
-def candidates(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id) of every record with a token that starts with a token of the query.
+def with_candidates(records: DataFrame, queries: DataFrame) -> DataFrame:
+    """records once for each query of the batch that has a token which starts one of theirs, with q_tokens and phrase.
 
-    The index joins on the first two characters, then compares: tokens have two characters at least.
+    The batch's tokens, filed by their first two characters (tokens have two at least), come to the records as
+    one row; records are looked up where they are, without a shuffle, and meet no other query.
     """
-    tokens = records.select("id", F.explode(F.array_distinct(F.flatten(F.array("title_tokens", "tag_tokens", "url_tokens", "folder_tokens", "description_tokens")))).alias("token"))
-    index = tokens.withColumn("start", F.left("token", F.lit(2)))
-    asked = queries.select("query_id", F.explode("q_tokens").alias("wanted")).withColumn("start", F.left("wanted", F.lit(2)))
-    return index.join(asked, "start").where(F.startswith("token", "wanted")).select("query_id", "id").distinct()
+    wanted = queries.select("query_id", F.explode("q_tokens").alias("wanted"))
+    filed = wanted.groupBy(F.left("wanted", F.lit(2)).alias("start")).agg(F.collect_list(F.struct("query_id", "wanted")).alias("q"))
+    table = filed.agg(F.map_from_entries(F.collect_list(F.struct("start", "q"))).alias("filed"))
+    tokens = F.array_distinct(F.flatten(F.array("title_tokens", "tag_tokens", "url_tokens", "folder_tokens", "description_tokens")))
 
+    def asking(token):
+        found = F.filter(F.try_element_at("filed", F.left(token, F.lit(2))), lambda x: F.startswith(token, x["wanted"]))
+        return F.coalesce(F.transform(found, lambda x: x["query_id"]), F.array().cast("array<bigint>"))
 
-def lexical(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, lex, lex_reason) of records with a positive lexical score."""
-    known, asked = with_tokens(records), prepared(queries)
-    pairs = candidates(known, asked).join(known, "id").join(F.broadcast(asked.select("query_id", "q_tokens", "phrase")), "query_id")  # the stated queries of one batch
+    met = records.join(F.broadcast(table)).withColumn("query_id", F.explode(F.array_distinct(F.flatten(F.transform(tokens, asking))))).drop("filed")  # one row
+    return met.join(F.broadcast(queries.select("query_id", "q_tokens", "phrase")), "query_id")  # the stated queries of one batch
+
+
+def lexical(records: DataFrame, queries: DataFrame, *keep: str) -> DataFrame:
+    """(query_id, id, lex, lex_reason) and the kept columns of records with a positive lexical score."""
+    pairs = with_candidates(with_tokens(records), prepared(queries))
     phrase = F.when((F.size("q_tokens") >= 2) & (F.length("phrase") >= 2) & F.contains(F.lower("title"), F.col("phrase")), 1.0).otherwise(0.0)
     parts = [("title", phrase), *((reason, coverage(F.col(f"{reason}_tokens"), F.col("q_tokens")) * worth) for reason, _, worth in FIELDS)]
-    scored = pairs.select("query_id", "id", F.array(*[F.struct(x.alias("s"), F.lit(r).alias("r")) for r, x in parts]).alias("c"))
+    scored = pairs.select("query_id", "id", *keep, F.array(*[F.struct(x.alias("s"), F.lit(r).alias("r")) for r, x in parts]).alias("c"))
     best = F.aggregate("c", F.struct(F.lit(0.0).alias("s"), F.lit("title").alias("r")), lambda a, x: F.when(x["s"] > a["s"], x).otherwise(a))
     more = F.size(F.filter("c", lambda x: x["s"] > 0)) - 1
     score = F.least(F.lit(1.0), best["s"] + BONUS * more)
-    return scored.select("query_id", "id", F.when(best["s"] > 0, score).otherwise(0.0).alias("lex"), best["r"].alias("lex_reason")).where("lex > 0")
+    return scored.select("query_id", "id", *keep, F.when(best["s"] > 0, score).otherwise(0.0).alias("lex"), best["r"].alias("lex_reason")).where("lex > 0")
 
 
 def cosines(vectors: DataFrame, queries: DataFrame, above: float | None = None) -> DataFrame:
@@ -130,15 +136,16 @@ def semantic(vectors: DataFrame, queries: DataFrame, w: Weights) -> DataFrame:
 
 def hybrid(records: DataFrame, vectors: DataFrame | None, queries: DataFrame, w: Weights = Weights()) -> DataFrame:
     """(query_id, rank, id, score, reason): the fused ranking, at most w.limit rows a query. Without vectors, lexical only."""
-    lex = lexical(records, queries)
+    lex = lexical(records, queries, "title")
     if vectors is None:
         both = lex.withColumn("sem", F.lit(0.0))
     else:
-        sem = semantic(vectors, prepared(queries), w).join(records.select("id"), "id", "left_semi")
-        both = lex.join(sem.select("query_id", "id", "sem"), ["query_id", "id"], "full").na.fill({"lex": 0.0, "sem": 0.0, "lex_reason": "title"})
+        named = records.select("id", F.col("title").alias("named"))
+        sem = semantic(vectors, prepared(queries), w).select("query_id", "id", "sem").join(named, "id")
+        both = lex.join(sem, ["query_id", "id"], "full").withColumn("title", F.coalesce("title", "named")).na.fill({"lex": 0.0, "sem": 0.0, "lex_reason": "title"})
     score = F.round(w.lexical * F.col("lex") + w.semantic * F.col("sem"), 6)
     reason = F.when((F.col("lex") >= REASON_AT) & (w.lexical * F.col("lex") >= w.semantic * F.col("sem")), F.col("lex_reason")).otherwise("semantic")
-    scored = both.select("query_id", "id", score.alias("score"), reason.alias("reason")).where(F.col("score") >= w.min_score).join(records.select("id", "title"), "id")
+    scored = both.select("query_id", "id", "title", score.alias("score"), reason.alias("reason")).where(F.col("score") >= w.min_score)
     return ranked(scored, w.limit).select("query_id", "rank", "id", "score", "reason")
 
 
