@@ -121,7 +121,7 @@ _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 class Encoder:
     """Encodes texts with one tokenizer file by the trie; holds a bounded number of pieces of text."""
 
-    def __init__(self, path: str, most_pieces: int = 700_000):
+    def __init__(self, path: str, most_pieces: int = 300_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:

@@ -86,7 +86,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, kept between batches up to a bounded number of words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.known = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -140,7 +140,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def in_batches(rows_iter, column: str, most_chars: int = 4_000_000):
+def in_batches(rows_iter, column: str, most_chars: int = 2_000_000):
     """Cut Arrow batches so that one holds about `most_chars` bytes of text, a single row at least."""
     for batch in rows_iter:
         if batch.num_rows == 0:

@@ -41,7 +41,7 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, n_owners: int, m: int)
     low = np.full(n_owners * m, np.iinfo(np.uint64).max, np.uint64)
     table = low.reshape(n_owners, m)
     alive_e, own = elements, owner.astype(np.int64)
-    perm = np.broadcast_to(np.arange(m, dtype=np.uint16), (len(alive_e), m)).copy()
+    perm = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint32), (len(alive_e), m)).copy()
     with np.errstate(over="ignore"):
         for j in range(m):
             if not len(alive_e):
@@ -73,7 +73,7 @@ def _signatures(size: int, bands: int, rows: int):
         import xxhash
 
         hashes = WordHashes()
-        for batch in in_batches(batches, "text", 1_000_000):
+        for batch in in_batches(batches, "text", 250_000):
             sets, counts = _shingle_sets(batch, size, hashes)
             ends = np.cumsum(counts)
             digests = [xxhash.xxh3_128_digest(sets[e - c : e].tobytes()) if c else None for e, c in zip(ends, counts)]
@@ -97,7 +97,7 @@ def _signatures(size: int, bands: int, rows: int):
 def _sets(size: int):
     def run(batches):
         hashes = WordHashes()
-        for batch in in_batches(batches, "text", 1_000_000):
+        for batch in in_batches(batches, "text", 250_000):
             sets, counts = _shingle_sets(batch, size, hashes)
             ends = np.cumsum(counts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sets[e - c : e].tobytes() for e, c in zip(ends, counts)], pa.binary())], ["rep", "members"])
@@ -113,7 +113,7 @@ def _verified(percent: int):
     """Pairs (a, b, members_a, members_b) whose whole sets are similar enough."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             left, right = batch.column("ma").to_pylist(), batch.column("mb").to_pylist()
             ok = []

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import in_batches, mix64, read, texts
 
-MOST_LABELLED, MOST_POOL = 4000, 4000
+MOST_LABELLED, MOST_POOL = 3000, 3000
 TEXT_DIMS, META_DIMS = 1024, 256
 ROUNDS, SURE, SHARE = 4, 0.95, 0.05
 
@@ -134,7 +134,7 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(batches):
-    for batch in in_batches(batches, "text", 2_000_000):
+    for batch in in_batches(batches, "text", 1_000_000):
         a, b = _views(batch)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], ["doc_id", "label", "t", "m"])
 
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | N
     chosen = present.orderBy(order, "doc_id").limit(MOST_LABELLED)
     ids = docs.where("doc_id is not null").select("doc_id").join(known, "doc_id", "left_anti").distinct()
     sample = chosen.unionByName(ids.orderBy(order, "doc_id").limit(MOST_POOL).withColumn("label", F.lit(None).cast("int")))
-    rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(sample), "doc_id")  # at most 8,000 ids
+    rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(sample), "doc_id")  # at most 6,000 ids
     found = rows.mapInArrow(_features, "doc_id long, label int, t binary, m binary").dropDuplicates(["doc_id"]).toArrow()
     found = found.sort_by("doc_id")
     x = tuple(np.frombuffer(b"".join(found.column(c).to_pylist()), np.float32).reshape(found.num_rows, -1) if found.num_rows else np.zeros((0, 1), np.float32) for c in ("t", "m"))
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model | None, keep_at: float = 0.3) -> DataFra
     """(doc_id, p_text, p_meta, quality, kept) of every row of docs (doc_id, text, source, lang, n_chars)."""
 
     def run(batches):
-        for batch in in_batches(batches, "text", 2_000_000):
+        for batch in in_batches(batches, "text", 1_000_000):
             a, b, c = _scores(model, batch)
             kept = pa.array([True] * batch.num_rows) if model is None else pa.array(c.to_numpy() >= keep_at)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), a, b, c, kept], ["doc_id", "p_text", "p_meta", "quality", "kept"])
@@ -186,7 +186,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = 0.3) -> DataF
         return docs
 
     def run(batches):
-        for batch in in_batches(batches, "text", 2_000_000):
+        for batch in in_batches(batches, "text", 1_000_000):
             yield batch.filter(pa.array(_scores(model, batch)[2].to_numpy() >= keep_at))
 
     return docs.mapInArrow(run, docs.schema)
