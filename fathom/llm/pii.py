@@ -219,11 +219,10 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs, all columns, with every span of `text` replaced by its kind in square brackets; overlapping ones by the first's."""
     stage = Stage(docs.sparkSession, "pii-redact")
     spans, safe = fresh(docs, "pii_spans"), fresh(docs, "pii_text")
-    told = docs.withColumn(safe, F.coalesce("text", F.lit("")))
-    found = stage.write(candidates(told.select(safe), safe, spans).select(spans).where(F.size(spans) > 0), "candidates")
-    weights = train(_flat(found, spans))
+    told = stage.write(candidates(docs.withColumn(safe, F.coalesce("text", F.lit(""))), safe, spans).drop(safe), "candidates")
+    weights = train(_flat(told, spans))
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    told = candidates(told, safe, spans).withColumn(spans, _accepted(F.col(spans), weights))
+    told = told.withColumn(safe, F.coalesce("text", F.lit(""))).withColumn(spans, _accepted(F.col(spans), weights))
     t, s = F.col(safe), F.col(spans)
 
     def step(state, x):
