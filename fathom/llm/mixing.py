@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import fresh, read
 
-BLOCK_ROWS, UNITS, CHUNK_ROWS = 4, 100, 50_000
+BLOCK_ROWS, UNITS, CHUNK_ROWS = 4, 100, 2_000
 
 
 def _source_key(source: Column) -> Column:
