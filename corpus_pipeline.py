@@ -30,10 +30,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and what they decode to, as digests with the number of tokens, beside the ids themselves."""
+    """Token ids and what they decode to, as digests with the number of tokens, beside the ids themselves.
+
+    Rows come in the order of the mixture and carry their slot and place in it.
+    """
     path = bpe.tokenizer_path()
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), path)
-    return coded.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    # reading files again does not keep their order, so the same rows are scheduled again and carry their place on
+    placed = mixing.ordered(docs.select("doc_id", "source", "text")).select("doc_id", "source", "mix.slot", "mix.place", "text")
+    coded = bpe.encode(placed, path)
+    return coded.select("doc_id", "source", "slot", "place", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
 
 STAGES = [
