@@ -37,8 +37,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = bpe.tokenizer_path()
     # reading files again does not keep their order, so the same rows are scheduled again and carry their place on
     placed = mixing.ordered(docs.select("doc_id", "source", "text")).select("doc_id", "source", "mix.slot", "mix.place", "text")
-    coded = bpe.encode(placed, path)
-    return coded.select("doc_id", "source", "slot", "place", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    coded = bpe.encode(placed, path, hashed=True)
+    return coded.select("doc_id", "source", "slot", "place", F.size("token_ids").cast("long").alias("n_tokens"), "ids_sha256", "decoded_sha256", "token_ids")
 
 
 STAGES = [

@@ -197,6 +197,11 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+def _hashes(encoder: Encoder, found: bytes) -> tuple[str, str]:
+    """SHA-256 of ids and of the text they decode to."""
+    return hashlib.sha256(found).hexdigest(), hashlib.sha256(encoder.decode(np.frombuffer(found, "<u4").tolist()).encode()).hexdigest()
+
+
 def _digests(path: str):
     def run(batches):
         encoder = Encoder(path)
@@ -207,8 +212,9 @@ def _digests(path: str):
             for text in whole:
                 found = encoder(text)
                 n.append(len(found) // 4)
-                ids.append(hashlib.sha256(found).hexdigest())
-                decoded.append(hashlib.sha256(encoder.decode(np.frombuffer(found, "<u4").tolist()).encode()).hexdigest())
+                a, b = _hashes(encoder, found)
+                ids.append(a)
+                decoded.append(b)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -219,9 +225,15 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str, into: str = "token_ids") -> DataFrame:
-    """docs with a column of token ids; its name gets a leading underscore where docs has it already."""
+def encode(docs: DataFrame, path: str, into: str = "token_ids", hashed: bool = False) -> DataFrame:
+    """docs with a column of token ids; its name gets a leading underscore where docs has it already.
+
+    hashed: decode the ids too, in the same pass, and add ids_sha256 and decoded_sha256, as :func:`digests` has them.
+    """
     name = fresh(docs, into)
+    added = [T.StructField(name, T.ArrayType(T.IntegerType()))]
+    if hashed:
+        added += [T.StructField(fresh(docs, x), T.StringType()) for x in ("ids_sha256", "decoded_sha256")]
 
     def run(batches):
         encoder = Encoder(path)
@@ -230,10 +242,12 @@ def encode(docs: DataFrame, path: str, into: str = "token_ids") -> DataFrame:
             encoder.learn(whole)
             found = [encoder(t) for t in whole]
             ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
+            more = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))]
+            if hashed:
+                more += [pa.array(list(column), pa.string()) for column in zip(*(_hashes(encoder, x) for x in found))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *(f.name for f in added)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
