@@ -1,13 +1,15 @@
 """Quality classifier by co-training two views of a document.
 
 The text view sees hashed byte trigrams of the whole text; the metadata view sees source, language, length and
-line layout. Each is a logistic regression, first fitted to labelled rows. In every round each view labels
-the documents of an unlabelled pool that it is most sure of, and the other view trains on them. A part of the
+line layout. Each is a logistic regression, first fitted to labelled rows. In every round each view labels,
+of all unlabelled documents, those that it is most sure of, and the other view trains on them. A part of the
 labelled rows is held out to calibrate both views (Platt scaling) and their combination, which scores every
 document. Documents scored below `keep_at` are rejected.
 
-Fitting uses a bounded sample: at most MOST_LABELLED labelled and MOST_POOL unlabelled documents, taken by the
-least hashes of their ids; the bounds do not depend on the input. Scoring runs over all documents, whole texts,
+Labelled rows are a bounded sample, at most MOST_LABELLED by the least hashes of their ids. A round is a pass over
+all documents: the sure ones give a narrow row each (no text), those with a label go by an anti join, and of each
+view and class the surest SHARE, at most MOST_NEW, are taken; only their features reach the driver. Documents alike
+in text and metadata count once there, ties go to the least hash. Scoring runs over all documents, whole texts,
 without a shuffle, and its state is the two weight vectors.
 
 Defined results: a null text counts as empty; missing metadata is a value of its own; a document labelled more
@@ -20,12 +22,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.common import in_batches, mix64, read, texts
 
-MOST_LABELLED, MOST_POOL = 3000, 3000
+MOST_LABELLED, MOST_NEW = 4000, 200
 TEXT_DIMS, META_DIMS = 1024, 256
 ROUNDS, SURE, SHARE = 4, 0.95, 0.05
 
@@ -95,28 +97,32 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (*logits, both))
 
 
-def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], held: np.ndarray) -> Model:
-    """Fit both views. xs, y: labelled rows; held: those of them kept for calibration; pool: unlabelled rows."""
+def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest, held: np.ndarray) -> Model:
+    """Fit both views. xs, y: labelled rows; held: those of them kept for calibration.
+
+    surest: (weights of both views, keys learned so far by each) to (label by key, row of features by key) of what
+    each view has to learn from the other.
+    """
     penalty = (1e-4, 1e-3)
     train = ~held
-    extra: tuple[dict[int, int], dict[int, int]] = ({}, {})  # pool rows each view has learned from the other
+    extra: tuple[dict[int, int], dict[int, int]] = ({}, {})  # unlabelled rows each view has learned from the other
+    seen: tuple[dict[int, np.ndarray], dict[int, np.ndarray]] = ({}, {})
     fitted: list[np.ndarray] = []
     for turn in range(ROUNDS + 1):
         new: list[np.ndarray] = []
         for v in (0, 1):
-            rows = np.fromiter(extra[v], np.int64, len(extra[v]))
-            x = np.concatenate([xs[v][train], pool[v][rows]])
-            t = np.concatenate([y[train], np.fromiter(extra[v].values(), np.int64, len(rows))])
+            x = np.concatenate([xs[v][train], *(seen[v][k][None] for k in extra[v])])
+            t = np.concatenate([y[train], np.fromiter(extra[v].values(), np.int64, len(extra[v]))])
             new.append(logistic(x, t, _balanced(t), penalty[v], 60 if turn else 300, fitted[v] if turn else None))
         fitted = new
-        if turn == ROUNDS or not len(pool[0]):
+        if turn == ROUNDS:
+            break
+        found = surest(fitted, extra)
+        for v, (labels, features) in enumerate(found):
+            extra[v].update(labels)
+            seen[v].update(features)
+        if not any(labels for labels, _ in found):
             break
-        most = max(1, int(SHARE * len(pool[0])))
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(pool[v] @ fitted[v], -30, 30)))
-            for label, order, sure in ((1, np.argsort(-p, kind="stable"), p >= SURE), (0, np.argsort(p, kind="stable"), p <= 1 - SURE)):
-                best = [int(i) for i in order if sure[i] and int(i) not in extra[1 - v]][:most]
-                extra[1 - v].update(dict.fromkeys(best, label))
     tuned, logits = [], []
     for v in (0, 1):
         z = xs[v][held] @ fitted[v]
@@ -139,25 +145,71 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], ["doc_id", "label", "t", "m"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
+COLUMNS = ["doc_id", "text", "source", "lang", "n_chars"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """What the views see of docs, and `key`, a hash of that without the id."""
+    rows = docs.select(*COLUMNS[:4], F.col("n_chars").cast("long").alias("n_chars"))
+    return rows.withColumn("key", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS[1:]]))
+
+
+def sure_ones(docs: DataFrame, known: DataFrame, fitted: list[np.ndarray], learned: tuple, most: int) -> DataFrame:
+    """(view, label, key): of all rows without a known id, the `most` distinct ones each view is surest of, class by class.
+
+    learned: keys that each view has learned already and is not given again.
+    """
+    old = tuple(np.array(sorted(keys), np.int64) for keys in learned)
+
+    def run(batches):
+        for batch in in_batches(batches, "text", 1_000_000):
+            key = batch.column("key").to_numpy()
+            for v, x in enumerate(_views(batch)):
+                z = (x @ fitted[v]).astype(np.float64)
+                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                fits = np.flatnonzero(((p >= SURE) | (p <= 1 - SURE)) & ~np.isin(key, old[1 - v]))
+                columns = [batch.column("doc_id").take(pa.array(fits)), pa.array(key[fits]), pa.array(np.full(len(fits), v, np.int32)), pa.array((p[fits] >= SURE).astype(np.int32)), pa.array(np.abs(z[fits]))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "view", "label", "sure"])
+
+    sure = _keyed(docs).mapInArrow(run, "doc_id long, key long, view int, label int, sure double")
+    once = sure.join(known.select("doc_id"), "doc_id", "left_anti").groupBy("view", "label", "key").agg(F.max("sure").alias("sure"))
+    nth = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("sure"), "key"))  # a task keeps `most` before the shuffle
+    return once.withColumn("nth", nth).where(F.col("nth") <= most).select("view", "label", "key")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_labelled: int = MOST_LABELLED, most_new: int = MOST_NEW) -> Model | None:
     """The co-trained model, or None where the labels hold one class or none."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("m")).select("doc_id", (F.col("m") >= 0.5).cast("int").alias("label"))
     order = F.xxhash64(F.col("doc_id"), F.lit(11))
     present = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = present.orderBy(order, "doc_id").limit(MOST_LABELLED)
-    ids = docs.where("doc_id is not null").select("doc_id").join(known, "doc_id", "left_anti").distinct()
-    sample = chosen.unionByName(ids.orderBy(order, "doc_id").limit(MOST_POOL).withColumn("label", F.lit(None).cast("int")))
-    rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(sample), "doc_id")  # at most 6,000 ids
+    sample = present.orderBy(order, "doc_id").limit(most_labelled)
+    rows = _keyed(docs).join(F.broadcast(sample), "doc_id")  # at most most_labelled ids
     found = rows.mapInArrow(_features, "doc_id long, label int, t binary, m binary").dropDuplicates(["doc_id"]).toArrow()
     found = found.sort_by("doc_id")
     x = tuple(np.frombuffer(b"".join(found.column(c).to_pylist()), np.float32).reshape(found.num_rows, -1) if found.num_rows else np.zeros((0, 1), np.float32) for c in ("t", "m"))
-    y = np.array([-1 if v is None else v for v in found.column("label").to_pylist()], np.int64)
-    mine = y >= 0
-    held = (mix64(np.array(found.column("doc_id").to_pylist(), np.int64).view(np.uint64)) % np.uint64(5) == 0)[mine] if found.num_rows else np.zeros(0, bool)
-    good = y[mine]
+    good = np.array(found.column("label").to_pylist(), np.int64)
+    held = mix64(np.array(found.column("doc_id").to_pylist(), np.int64).view(np.uint64)) % np.uint64(5) == 0 if found.num_rows else np.zeros(0, bool)
     if any(len(set(part.tolist())) < 2 for part in (good[held], good[~held])):
         return None
-    return co_train((x[0][mine], x[1][mine]), good, (x[0][~mine], x[1][~mine]), held)
+    unlabelled = docs.select("doc_id").join(known, "doc_id", "left_anti").count()
+    most = min(most_new, max(1, int(SHARE * unlabelled)))
+
+    def surest(fitted, learned):
+        out = ({}, {}), ({}, {})
+        picked = [tuple(r) for r in sure_ones(docs, known, fitted, learned, most).collect()] if unlabelled else []
+        if not picked:
+            return out
+        keys = docs.sparkSession.createDataFrame([(k,) for k in sorted({k for _, _, k in picked})], "key long")
+        rows = _keyed(docs).join(F.broadcast(keys), "key")  # at most 4 * most keys
+        rows = rows.select(F.col("key").alias("doc_id"), *COLUMNS[1:], F.lit(None).cast("int").alias("label")).dropDuplicates(["doc_id"])
+        table = rows.mapInArrow(_features, "doc_id long, label int, t binary, m binary").toArrow()
+        features = {k: (np.frombuffer(t, np.float32), np.frombuffer(m, np.float32)) for k, t, m in zip(*(table.column(c).to_pylist() for c in ("doc_id", "t", "m")))}
+        for view, value, key in sorted(picked):
+            labels_, rows_ = out[1 - view]
+            labels_[key], rows_[key] = value, features[key][1 - view]
+        return out
+
+    return co_train(x, good, surest, held)
 
 
 def _scores(model: Model | None, batch: pa.RecordBatch):
