@@ -11,7 +11,9 @@ pre-tokeniser and the special tokens are those of the tokenizer file; a text is
 distinct piece is normalised, split, and looked up in the trie once while it is held.
 
 Defined results: a null text counts as empty (no ids, decoded as the empty text); repeated rows give repeated
-results; an empty table gives an empty result; all other columns are passed on by :func:`encode`.
+results; an empty table gives an empty result; all other columns, clashing names too, are passed on by
+:func:`encode`; very long texts are cut into pieces at white space, one text being held whole in one task. A file with
+a decoder, or with added tokens that strip or normalise what is around them, raises ValueError.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +130,10 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if spec.get("decoder") is not None:
+            raise ValueError("only files without a decoder are decoded here")
+        if any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError("added tokens that strip, normalise or want whole words are not supported")
         own = Tokenizer.from_file(path)
         self.normalize = own.normalizer.normalize_str if own.normalizer else str
         self.pre = own.pre_tokenizer.pre_tokenize_str
@@ -184,7 +191,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         text = text or ""
-        if self.cut is None or "<|" not in text:
+        if self.cut is None or not any(t in text for t in self.special):
             return self._plain(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
@@ -197,6 +204,12 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> Encoder:
+    """One encoder a Python worker: pieces and token pairs that one task has met are known to the next."""
+    return Encoder(path)
+
+
 def _hashes(encoder: Encoder, found: bytes) -> tuple[str, str]:
     """SHA-256 of ids and of the text they decode to."""
     return hashlib.sha256(found).hexdigest(), hashlib.sha256(encoder.decode(np.frombuffer(found, "<u4").tolist()).encode()).hexdigest()
@@ -204,7 +217,7 @@ def _hashes(encoder: Encoder, found: bytes) -> tuple[str, str]:
 
 def _digests(path: str):
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_for(path)
         for batch in in_batches(batches, "text"):
             n, ids, decoded = [], [], []
             whole = batch.column("text").to_pylist()
@@ -236,7 +249,7 @@ def encode(docs: DataFrame, path: str, into: str = "token_ids", hashed: bool = F
         added += [T.StructField(fresh(docs, x), T.StringType()) for x in ("ids_sha256", "decoded_sha256")]
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_for(path)
         for batch in in_batches(batches, "text"):
             whole = batch.column("text").to_pylist()
             encoder.learn(whole)
@@ -255,7 +268,7 @@ def decode(rows: DataFrame, path: str, ids: str = "token_ids", into: str = "deco
     name = fresh(rows, into)
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_for(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([encoder.decode(x or []) for x in batch.column(ids).to_pylist()], pa.string())], [*batch.schema.names, name])
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +18,38 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests in local mode) a temporary folder is made.
+    Only in local mode, where driver and executors are one process, a temporary folder stands in for an unset one.
     """
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="fathom-")
     return _own_dir
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _own_shuffles_only(spark: SparkSession):
+    """Shuffle files of the queries run within go when each of them ends."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 class Stage:
     """Tables written between the steps of one operator call.
 
-    A written table cuts lineage: a lost executor costs its tasks, not the steps before.
+    A written table cuts lineage: a lost executor costs its tasks, not the steps before. Its shuffle files go
+    with the query that wrote it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -43,13 +60,9 @@ class Stage:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        schema = df.schema
-        del df
-        # Shuffle files go once nothing refers to their plans; without this the driver may not collect for long.
-        gc.collect()
-        self.spark._jvm.System.gc()
-        return self.spark.read.schema(schema).parquet(self.path(name))
+        with _own_shuffles_only(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         """Remove a table that no later step reads."""
@@ -103,6 +116,20 @@ class WordHashes:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def hash_words(text: bytes, hashes: WordHashes, most: int = 4_000_000) -> np.ndarray:
+    """Hashes of the words of one text, which is split piece by piece, so a long one is never a list of all its words."""
+    if len(text) <= most:
+        return hashes(text.split())
+    found, at = [], 0
+    while at < len(text):
+        to = at + most
+        while to < len(text) and text[to] not in b" \t\n\r\x0b\x0c":
+            to += 1
+        found.append(hashes(text[at:to].split()))
+        at = to
+    return np.concatenate(found)
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of `size` words; the whole sequence as one if it is shorter; nothing for no words."""
     n = len(words)

@@ -14,7 +14,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +40,48 @@ LAYOUT = {
 }
 
 
+#: Letters that any version of Unicode knows, and the punctuation that ends them.
+_LETTERS = "( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)"
+_WORD = re.compile(_LETTERS).fullmatch
+_ENDED = re.compile(_LETTERS + r"([!-&(-/:-@\[-`{-~]+)").fullmatch
+_BLANK = re.compile(r"\s").search
+_FLAT = sys.byteorder == "little" and array("I").itemsize == 4
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if _FLAT else np.array(ids, "<u4").tobytes()
+
+
+class Held:
+    """A bounded dictionary: when it is full, what has not been asked for since it was last full goes."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of the keys that are not held; the others are in `new` afterwards."""
+        out = keys.difference(self.new)
+        if self.old:
+            known = [k for k in out if k in self.old]
+            self.new.update(zip(known, map(self.old.__getitem__, known)))
+            out.difference_update(known)
+        return list(out)
+
+
 class Pieces:
-    """Ids of texts from the tokenizers library, which sees each distinct piece between single spaces once.
+    """Ids of texts from the tokenizers library, which sees each distinct word while it is held once.
 
     A byte-level pre-tokeniser never joins what stands before a space with what follows it, unless the space
-    is in a run of white space; texts with such runs, or with a special token, go to the library whole.
+    is in a run of white space; texts with such runs, or with a special token, go to the library whole. A piece
+    between spaces is cut further where the pre-tokeniser cuts too: at single line breaks, and between letters
+    and the punctuation that ends them, so `word`, `word,` and `word.` share what the library finds for `word`.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -54,39 +92,82 @@ class Pieces:
         self.library.no_padding()
         self.special = [t["content"] for t in spec["added_tokens"]]
         pre = spec["pre_tokenizer"] or {}
-        self.cuts = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and spec["post_processor"] is None
-        self.most, self.known, self.starts = most, {}, {}
+        self.cuts = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and spec["post_processor"] in (None, {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True})
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that byte-level files write as themselves
+        self.table = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        self.pieces, self.firsts, self.units = Held(most), Held(most // 4), Held(most)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _fill(self, known: dict, new: list[str], lead: str) -> None:
-        found = self.library.encode_batch_fast([lead + x for x in new], add_special_tokens=False)
-        known.update(zip(new, [np.array(x.ids, "<u4").tobytes() for x in found]))
+        return _bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+    @staticmethod
+    def _cut(piece: str) -> tuple[str, ...]:
+        """Units of a piece (a space before it or not) that the pre-tokeniser keeps apart in any case."""
+        if "\n" not in piece:
+            m = _ENDED(piece)
+            return m.groups() if m else (piece,)
+        first, *rest = lines = piece.split("\n")
+        if not all(lines) or _BLANK(first[1:]) or any(map(_BLANK, rest)):
+            return (piece,)
+        out = []
+        for line in lines:
+            m = _ENDED(line)
+            out += [*(m.groups() if m else (line,)), "\n"]
+        return tuple(out[:-1])
+
+    def _ask(self, units: list[str]) -> list[tuple[str, bytes]]:
+        """Ids of units: letters alone are one word to the library's model, anything else goes through all of the library."""
+        words = [u for u in units if _WORD(u)]
+        other = [u for u in units if not _WORD(u)]
+        tokenize, table = self.library.model.tokenize, self.table
+        found = [(u, _bytes([t.id for t in tokenize(u.encode().decode("latin-1").translate(table))])) for u in words]
+        return found + [(u, _bytes(x.ids)) for u, x in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False))]
+
+    def _learn(self, held: Held, parts: set[str], lead: str) -> None:
+        held.turn()
+        new = held.missing({x for x in parts.difference(held.new) if x and not x[0].isspace()})
+        for at in range(0, len(new), 50_000):
+            some = [self._cut(lead + x) for x in new[at : at + 50_000]]
+            self.units.turn()
+            ask = self.units.missing({u for units in some for u in units})
+            self.units.new.update(self._ask(ask))
+            known = self.units.new
+            held.new.update(zip(new[at : at + 50_000], [known[u[0]] if len(u) == 1 else b"".join([known[x] for x in u]) for u in some]))
 
     def learn(self, texts_: list[str]) -> None:
+        """Take the distinct pieces of many texts at once."""
         if not self.cuts:
             return
-        if len(self.known) > self.most:
-            self.known.clear()
-        parts = {x for t in texts_ for x in t.split(" ")[1:]}
-        new = [x for x in parts.difference(self.known) if x and not x[0].isspace()]
-        for at in range(0, len(new), 20_000):
-            self._fill(self.known, new[at : at + 20_000], " ")
+        rest: set[str] = set()
+        first: set[str] = set()
+        for t in texts_:
+            a, *more = t.split(" ")
+            first.add(a)
+            rest.update(more)
+        for held, parts, lead in ((self.firsts, first, ""), (self.pieces, rest, " ")):
+            self._learn(held, parts, lead)
 
     def __call__(self, text: str) -> bytes:
+        if not text:
+            return b""
         if not self.cuts or any(t in text for t in self.special):
             return self._whole(text)
         first, *rest = text.split(" ")
         try:
-            return self._whole(first) + b"".join(map(self.known.__getitem__, rest))
+            return self.firsts.new[first] + b"".join(map(self.pieces.new.__getitem__, rest))
         except KeyError:
             return self._whole(text)
 
 
+@lru_cache(maxsize=2)
+def pieces_for(path: str) -> Pieces:
+    """One a Python worker: words that one task has met are known to the next."""
+    return Pieces(path)
+
+
 def _encode(path: str, end: int):
     def run(batches):
-        pieces, start = Pieces(path), 0
+        pieces, start = pieces_for(path), 0
         for batch in in_batches(batches, "text"):
             whole = [t or "" for t in batch.column("text").to_pylist()]
             pieces.learn(whole)
