@@ -4,18 +4,21 @@ Steps:
 
 1. One pass over the texts gives each document the size and digest of its shingle set and the hashes of
    its signature's bands. Equal sets fall into one class, carried on by its least ``doc_id``.
-2. Classes that share a band are candidates. Each class is first checked against one class that leads most of its
-   buckets (one pair a class), on whole shingle sets; links are grouped by union-find.
-3. Buckets whose classes are not yet in one component are compared further: the classes outside the
-   bucket's main component, in blocks, against all of the bucket, in blocks. Pairs already connected or
-   of too different sizes are skipped; every other pair is decided on whole sets. So no link that shares
-   a band is lost, and no list of all pairs is ever written.
+2. Classes that share a band are candidates. Of each bucket the class that meets most others leads; each class
+   is checked against one leader, the one it shares most buckets with, on whole sets, and links are grouped by
+   union-find. Edited copies of one text meet in their original, so this connects most of a large group.
+3. Buckets whose classes are not yet in one component are compared further. Such a bucket belongs to its main
+   component; the classes of a component's buckets that lie outside it are compared, in blocks bounded by bytes,
+   with all classes of these buckets, each class once whatever the number of buckets it came from. Only
+   pairs already connected are passed over; every other pair is decided on whole sets. So no link that shares a band
+   is lost, and no list of all pairs is ever written.
 
 With 40 bands of 5 rows a pair at the threshold 0.8 shares no band with probability 1.3e-7, at 0.9 with 3e-16.
 
 Defined results: a null or wordless text has an empty set, is its own component and is kept; repeated rows
 share a class; a null ``doc_id`` takes no part in links; an empty table gives an empty result; extra columns
-are ignored by :func:`groups` and passed on by :func:`deduplicate`.
+are ignored by :func:`groups` and passed on by :func:`deduplicate`, clashing names too; a very long text is hashed
+piece by piece and signed SLICE shingles at a time, so it costs 8 bytes a word; equal similarities tie to the smaller id.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import GOLDEN, Stage, WordHashes, components, in_batches, mix64, read, shingle_hashes, texts
+from fathom.llm.common import GOLDEN, Stage, WordHashes, components, fresh, hash_words, in_batches, mix64, read, shingle_hashes, texts
 
 BANDS, ROWS = 40, 5
-BLOCK = 128
+#: Shingles signed at a time, followers of a leader checked by one task, and bytes of sets on one side of a block.
+SLICE, FOLLOWERS, BLOCK_BYTES = 1 << 16, 1000, 24 << 20
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, n_owners: int, m: int) -> np.ndarray:
@@ -36,26 +40,29 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, n_owners: int, m: int)
 
     Element e draws, rank after rank j, a uniform r and the j-th entry p of a random permutation of the
     positions (Fisher-Yates), and position p keeps the least j + r. A set is done as soon as all its
-    positions lie below the next rank, which for large sets is after a few ranks.
+    positions lie below the next rank, which for large sets is after a few ranks. Elements draw on their own, so
+    they come in slices: later ones start from the minima of earlier ones.
     """
     low = np.full(n_owners * m, np.iinfo(np.uint64).max, np.uint64)
     table = low.reshape(n_owners, m)
-    alive_e, own = elements, owner.astype(np.int64)
-    perm = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint32), (len(alive_e), m)).copy()
     with np.errstate(over="ignore"):
-        for j in range(m):
-            if not len(alive_e):
-                break
-            draw = mix64(alive_e + np.uint64(j + 1) * GOLDEN)
-            k = j + (((draw & np.uint64(0xFFFFFF)) * np.uint64(m - j)) >> np.uint64(24)).astype(np.int64)
-            at = np.arange(len(alive_e))
-            p = perm[at, k]
-            perm[at, k] = perm[:, j]
-            np.minimum.at(low, own * m + p, (np.uint64(j) << np.uint64(40)) | (draw >> np.uint64(24)))
-            done = table.max(axis=1) < np.uint64((j + 1) << 40)
-            going = ~done[own]
-            if not going.all():
-                alive_e, own, perm = alive_e[going], own[going], perm[going]
+        for start in range(0, len(elements), SLICE):
+            alive_e, own = elements[start : start + SLICE], owner[start : start + SLICE].astype(np.int64)
+            perm = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint32), (len(alive_e), m)).copy()
+            for j in range(m):
+                if not len(alive_e):
+                    break
+                draw = mix64(alive_e + np.uint64(j + 1) * GOLDEN)
+                k = j + (((draw & np.uint64(0xFFFFFF)) * np.uint64(m - j)) >> np.uint64(24)).astype(np.int64)
+                at = np.arange(len(alive_e))
+                p = perm[at, k]
+                perm[at, k] = perm[:, j]
+                np.minimum.at(low, own * m + p, (np.uint64(j) << np.uint64(40)) | (draw >> np.uint64(24)))
+                first, last = int(own[0]), int(own[-1]) + 1  # owners come in order
+                done = table[first:last].max(axis=1) < np.uint64((j + 1) << 40)
+                going = ~done[own - first]
+                if not going.all():
+                    alive_e, own, perm = alive_e[going], own[going], perm[going]
     return table
 
 
@@ -63,7 +70,7 @@ def _shingle_sets(batch: pa.RecordBatch, size: int, hashes: WordHashes) -> tuple
     """The distinct shingle hashes of each text, one after the other, and how many each has."""
     found = []
     for text in texts(batch.column("text")):
-        found.append(np.unique(shingle_hashes(hashes(text.lower().split()), size)))
+        found.append(np.unique(shingle_hashes(hash_words(text.lower(), hashes), size)))
     counts = np.fromiter(map(len, found), np.int64, len(found))
     return (np.concatenate(found) if found else np.empty(0, np.uint64)), counts
 
@@ -89,7 +96,7 @@ def _signatures(size: int, bands: int, rows: int):
                     keys[full] = h
             offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, bands, 0))]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(digests, pa.binary()), listed], ["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(counts), pa.array(digests, pa.binary()), listed], ["doc_id", "h", "n_shingles", "set_key", "bands"])
 
     return run
 
@@ -128,99 +135,137 @@ def _verified(percent: int):
 
 
 def _block_links(percent: int):
-    """Links between the two sides of one block pair; pairs already connected are skipped."""
+    """Links between the two sides of one block pair; pairs already connected are skipped.
+
+    The left sets are filed by shingle once; the right ones are looked up in runs of bounded size.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        side = np.array(table.column("side").to_pylist(), np.int64)
+        side = table.column("side").to_numpy()
         rep, comp = table.column("rep").to_pylist(), table.column("comp").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+        members = table.column("members").to_pylist()
         up: dict[int, int] = {}
 
         def find(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                x = y
-            return x
+            root = x
+            while (y := up.get(root, root)) != root:
+                root = y
+            while (y := up.get(x, x)) != root:
+                up[x], x = root, y
+            return root
 
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         links: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            sizes = np.array([len(sets[i]) for i in right])
-            flat = np.concatenate([sets[i] for i in right])
-            owner = np.repeat(np.arange(len(right)), sizes)
-            for i in left:
-                mine = sets[i]
-                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-                common = np.bincount(owner[mine[at] == flat], minlength=len(right))
-                for j in np.flatnonzero(_similar(common, len(mine), sizes, percent)):
-                    x, y = find(comp[i]), find(comp[right[j]])
-                    if x != y:
-                        up[max(x, y)] = min(x, y)
-                        links.append((rep[i], rep[right[j]]))
+        for a in range(0, len(left), 512):
+            some = left[a : a + 512]
+            sets = [np.frombuffer(members[i], np.uint64) for i in some]
+            sizes = np.array([len(x) for x in sets])
+            flat, holder = np.concatenate(sets), np.repeat(np.arange(len(some)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, holder = flat[order], holder[order]
+            for b in range(0, len(right), 64):
+                others = right[b : b + 64]
+                theirs = [np.frombuffer(members[j], np.uint64) for j in others]
+                n = np.array([len(x) for x in theirs])
+                asked, asker = np.concatenate(theirs), np.repeat(np.arange(len(others)), n)
+                first, past = np.searchsorted(flat, asked, "left"), np.searchsorted(flat, asked, "right")
+                count = past - first
+                at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                common = np.bincount(holder[at] * len(others) + np.repeat(asker, count), minlength=len(some) * len(others)).reshape(len(some), -1)
+                for x, y in np.argwhere(_similar(common, sizes[:, None], n[None, :], percent)):
+                    i, j = some[x], others[y]
+                    p, q = find(comp[i]), find(comp[j])
+                    if p != q:
+                        up[max(p, q)] = min(p, q)
+                        links.append((rep[i], rep[j]))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
 
-def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
+def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, h, n_shingles, set_key, component_id, kept) of every row of docs; h is a hash of its text."""
     spark = docs.sparkSession
     stage = Stage(spark, "near")
-    narrow = docs.select("doc_id", "text")
-    sig = stage.write(narrow.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sig")
+    narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    sig = stage.write(narrow.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, h long, n_shingles long, set_key binary, bands array<long>"), "sig")
     linkable = sig.where("doc_id is not null and n_shingles > 0")
     classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = linkable.withColumnRenamed("doc_id", "rep").join(classes, ["set_key", "rep"], "left_semi").select("rep", F.col("n_shingles").alias("n"), "bands")
+    reps = linkable.withColumnRenamed("doc_id", "rep").join(classes, ["set_key", "rep"], "left_semi").select("rep", "set_key", F.col("n_shingles").alias("n"), "bands").distinct()
     met = reps.select(F.explode("bands").alias("bucket"), "rep", "n")
-    many = met.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("bucket", "first")
+    many = met.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).where("least <> most").select("bucket", "size")
     members = stage.write(met.join(many, "bucket"), "members")
     # sets of all classes that meet another one
     need = members.select("rep").distinct()
-    sets = stage.write(narrow.join(need.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "rep long, members binary").where("length(members) > 0"), "sets")
+    sets = stage.write(
+        narrow.select("doc_id", "text").join(need.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "rep long, members binary").where("length(members) > 0").dropDuplicates(["rep"]), "sets"
+    )
 
     def check(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b")
+        # a leader's set goes to as many keys as it has thousands of followers
+        spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("w")).where("w > 1")
+        salted = pairs.join(spread, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("w", F.lit(1))).cast("int").alias("salt"))
+        leaders = pairs.select("a").distinct().join(spread, "a", "left").join(sets.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a")
+        leaders = leaders.select("a", "ma", F.explode(F.sequence(F.lit(0), F.coalesce("w", F.lit(1)) - 1)).alias("salt"))
+        both = salted.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b").join(leaders, ["a", "salt"])
         fits = F.least(F.length("ma"), F.length("mb")) * 100 >= F.greatest(F.length("ma"), F.length("mb")) * percent
-        return both.where(fits).mapInArrow(_verified(percent), "a long, b long")
+        return both.where(fits).select("a", "b", "ma", "mb").mapInArrow(_verified(percent), "a long, b long")
 
-    meet = members.where("first <> rep").groupBy("rep", "first").count()
+    weight = members.groupBy("rep").agg(F.sum("size").alias("w"))
+    heads = members.join(weight, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("first"))
+    meet = members.join(heads, "bucket").where("first <> rep").groupBy("rep", "first").count()
     star = meet.groupBy("rep").agg(F.max_by("first", F.struct("count", -F.col("first"))).alias("a")).select("a", F.col("rep").alias("b"))
     links = stage.write(check(star), "links-star")
     comp = stage.write(components(links, stage, "cc-star"), "comp-star")
     placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    # of a bucket with several components: its main one, and the others, to be compared with all of it
-    parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("mark"))
-    open_ = (
-        parts.groupBy("bucket")
-        .agg(F.max_by("comp", F.struct("size", -F.col("comp"))).alias("main"), F.count("*").alias("k"), F.sum("size").alias("total"), F.sum("mark").alias("mark"), F.max("size").alias("top"))
-        .where("k > 1")
-    )
-    open_ = open_.groupBy("total", "mark").agg(F.min(F.struct("bucket", "main", "top")).alias("o")).select("o.*", "total")  # equal buckets of several bands once
-    todo = placed.join(open_, "bucket").withColumns({"nl": F.ceil((F.col("total") - F.col("top")) / BLOCK).cast("int"), "nr": F.ceil(F.col("total") / BLOCK).cast("int"), "h": F.xxhash64("rep")})
-    right = todo.select("bucket", "rep", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.pmod("h", "nr").cast("int").alias("j"))
-    left = todo.where("comp <> main").select("bucket", "rep", "comp", F.lit(0).alias("side"), F.pmod("h", "nl").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
+    # a bucket of several components belongs to the largest of them
+    parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    open_ = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("size", -F.col("comp"))).alias("main"), F.count("*").alias("k")).where("k > 1").select("bucket", "main")
+    todo = stage.write(placed.join(open_, "bucket").select("main", "rep", "n", "comp").distinct(), "todo")
+    outside, nbytes = F.col("comp") != F.col("main"), F.sum(F.col("n") * 8)
+    size = todo.groupBy("main").agg(F.ceil(nbytes / BLOCK_BYTES).cast("int").alias("nr"), F.ceil(F.sum(F.when(outside, F.col("n") * 8)) / BLOCK_BYTES).cast("int").alias("nl"))
+    todo = todo.join(size, "main").withColumn("h", F.xxhash64("rep"))
+    right = todo.select("main", "rep", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.pmod("h", "nr").cast("int").alias("j"))
+    left = todo.where(outside).select("main", "rep", "comp", F.lit(0).alias("side"), F.pmod("h", "nl").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
     blocks = left.union(right).join(sets, "rep")
-    more = stage.write(blocks.groupBy("bucket", "i", "j").applyInArrow(_block_links(percent), "a long, b long"), "links-more")
+    more = stage.write(blocks.groupBy("main", "i", "j").applyInArrow(_block_links(percent), "a long, b long"), "links-more")
     final = components(links.union(more), stage, "cc")
     of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("c"))
-    out = sig.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    out = sig.select("doc_id", "h", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "h", "n_shingles", "set_key", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
+    return _grouped(docs, shingle, percent, bands, rows).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, of which one document of each group stays: the least doc_id.
 
-    Rows that repeat a doc_id count as copies of one document if their texts are alike; one row stays.
-    Rows without a doc_id stay.
+    Rows that repeat a doc_id are copies of one document if their shingle sets are equal, and one of them stays;
+    texts without words are alike if they are equal. Rows without a doc_id stay.
     """
     stage = Stage(docs.sparkSession, "near-keep")
-    found = stage.write(groups(docs, shingle, percent).select("doc_id", "kept"), "groups")
-    drop = found.where("doc_id is not null and not kept").select("doc_id").distinct()
-    left = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("kept").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id is null"))
+    found = stage.write(_grouped(docs, shingle, percent, BANDS, ROWS).where("doc_id is not null").select("doc_id", "h", "set_key", "kept"), "groups")
+    # a row is known by its id and the hash of its text
+    own, text_hash = fresh(docs, "row_id"), fresh(docs, "row_text")
+    alike = F.coalesce(F.hex("set_key"), F.col("h").cast("string"))
+    first = found.where("kept").groupBy("doc_id", alike.alias("alike")).agg(F.min("h").alias("keep"), F.count("*").alias("rows"), F.countDistinct("h").alias("texts"))
+    repeated = first.where("rows > 1")
+    drop = found.where("not kept").select("doc_id", "h").distinct()
+    again = not repeated.isEmpty()
+    if again:
+        copies = found.where("kept").withColumn("alike", alike).join(repeated.where("texts > 1").select("doc_id", "alike", "keep"), ["doc_id", "alike"])
+        drop = drop.union(copies.where("h <> keep").select("doc_id", "h")).distinct()
+    marked = docs.withColumns({own: F.col("doc_id"), text_hash: F.xxhash64("text")})
+    gone = drop.select(F.col("doc_id").alias("d"), F.col("h").alias("t"))
+    left = marked.join(gone, (F.col(own) == F.col("d")) & (F.col(text_hash) == F.col("t")), "left_anti")
+    if again:
+        named = left.where(F.col(own).isNotNull()).dropDuplicates([own, text_hash])
+        left = named.unionByName(left.where(F.col(own).isNull()))
+    return left.select(*docs.columns)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
