@@ -12,6 +12,7 @@ doc_id stay, in the order of a hash of their text; an empty table gives no rows;
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -41,7 +42,7 @@ LAYOUT = {
 
 
 #: Letters that any version of Unicode knows, and the punctuation that ends them.
-_LETTERS = "( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)"
+_LETTERS = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)"
 _WORD = re.compile(_LETTERS).fullmatch
 _ENDED = re.compile(_LETTERS + r"([!-&(-/:-@\[-`{-~]+)").fullmatch
 _BLANK = re.compile(r"\s").search
@@ -52,24 +53,27 @@ def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if _FLAT else np.array(ids, "<u4").tobytes()
 
 
-class Held:
-    """A bounded dictionary: when it is full, what has not been asked for since it was last full goes."""
+class Held(dict):
+    """Ids of pieces with `lead` before them, found when first asked for; a piece that cannot stand alone raises KeyError.
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+    At most `most` pieces are held, and as many older ones: of these, the ones not asked for again go.
+    """
 
-    def turn(self) -> None:
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
+    def __init__(self, lead: str, most: int, find):
+        super().__init__()
+        self.lead, self.most, self.find, self.old = lead, most, find, {}
 
-    def missing(self, keys: set) -> list:
-        """Those of the keys that are not held; the others are in `new` afterwards."""
-        out = keys.difference(self.new)
-        if self.old:
-            known = [k for k in out if k in self.old]
-            self.new.update(zip(known, map(self.old.__getitem__, known)))
-            out.difference_update(known)
-        return list(out)
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            if not piece or piece[0].isspace():
+                raise KeyError(piece)
+            found = self.find(piece, self.lead)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
 
 
 class Pieces:
@@ -95,57 +99,40 @@ class Pieces:
         self.cuts = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and spec["post_processor"] in (None, {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True})
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that byte-level files write as themselves
         self.table = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        self.pieces, self.firsts, self.units = Held(most), Held(most // 4), Held(most)
+        self.tokenize, self.shown = self.library.model.tokenize, {x: x.translate(self.table) for x in ("", " ")}
+        self.line = self._whole("\n")
+        self.held = {"": Held("", most // 4, self._find), " ": Held(" ", most, self._find)}
 
     def _whole(self, text: str) -> bytes:
         return _bytes(self.library.encode(text, add_special_tokens=False).ids)
 
     @staticmethod
-    def _cut(piece: str) -> tuple[str, ...]:
-        """Units of a piece (a space before it or not) that the pre-tokeniser keeps apart in any case."""
+    def _cut(piece: str) -> list[str]:
+        """Units of a piece that the pre-tokeniser keeps apart in any case; only the first may have a space before it."""
         if "\n" not in piece:
             m = _ENDED(piece)
-            return m.groups() if m else (piece,)
-        first, *rest = lines = piece.split("\n")
-        if not all(lines) or _BLANK(first[1:]) or any(map(_BLANK, rest)):
-            return (piece,)
-        out = []
+            return list(m.groups()) if m else [piece]
+        lines = piece.split("\n")
+        if not all(lines) or any(map(_BLANK, lines)):
+            return [piece]
+        out: list[str] = []
         for line in lines:
             m = _ENDED(line)
             out += [*(m.groups() if m else (line,)), "\n"]
-        return tuple(out[:-1])
-
-    def _ask(self, units: list[str]) -> list[tuple[str, bytes]]:
-        """Ids of units: letters alone are one word to the library's model, anything else goes through all of the library."""
-        words = [u for u in units if _WORD(u)]
-        other = [u for u in units if not _WORD(u)]
-        tokenize, table = self.library.model.tokenize, self.table
-        found = [(u, _bytes([t.id for t in tokenize(u.encode().decode("latin-1").translate(table))])) for u in words]
-        return found + [(u, _bytes(x.ids)) for u, x in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False))]
-
-    def _learn(self, held: Held, parts: set[str], lead: str) -> None:
-        held.turn()
-        new = held.missing({x for x in parts.difference(held.new) if x and not x[0].isspace()})
-        for at in range(0, len(new), 50_000):
-            some = [self._cut(lead + x) for x in new[at : at + 50_000]]
-            self.units.turn()
-            ask = self.units.missing({u for units in some for u in units})
-            self.units.new.update(self._ask(ask))
-            known = self.units.new
-            held.new.update(zip(new[at : at + 50_000], [known[u[0]] if len(u) == 1 else b"".join([known[x] for x in u]) for u in some]))
-
-    def learn(self, texts_: list[str]) -> None:
-        """Take the distinct pieces of many texts at once."""
-        if not self.cuts:
-            return
-        rest: set[str] = set()
-        first: set[str] = set()
-        for t in texts_:
-            a, *more = t.split(" ")
-            first.add(a)
-            rest.update(more)
-        for held, parts, lead in ((self.firsts, first, ""), (self.pieces, rest, " ")):
-            self._learn(held, parts, lead)
+        return out[:-1]
+
+    def _unit(self, unit: str, lead: str) -> bytes:
+        """Letters alone are one word to the library's model, anything else goes through all of the library."""
+        if not _WORD(unit):
+            return self._whole(lead + unit)
+        shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.table)
+        return _bytes([t.id for t in self.tokenize(self.shown[lead] + shown)])
+
+    def _find(self, piece: str, lead: str) -> bytes:
+        first, *more = self._cut(piece)
+        if not more:
+            return self._unit(first, lead)
+        return b"".join([self.held[lead][first], *[self.line if u == "\n" else self.held[""][u] for u in more]])
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -154,7 +141,7 @@ class Pieces:
             return self._whole(text)
         first, *rest = text.split(" ")
         try:
-            return self.firsts.new[first] + b"".join(map(self.pieces.new.__getitem__, rest))
+            return self.held[""][first] + b"".join(map(self.held[" "].__getitem__, rest))
         except KeyError:
             return self._whole(text)
 
@@ -162,6 +149,7 @@ class Pieces:
 @lru_cache(maxsize=2)
 def pieces_for(path: str) -> Pieces:
     """One a Python worker: words that one task has met are known to the next."""
+    gc.set_threshold(200_000, 20, 100)  # hundreds of thousands of held strings are no garbage to look through
     return Pieces(path)
 
 
@@ -170,7 +158,6 @@ def _encode(path: str, end: int):
         pieces, start = pieces_for(path), 0
         for batch in in_batches(batches, "text"):
             whole = [t or "" for t in batch.column("text").to_pylist()]
-            pieces.learn(whole)
             last = np.array([end], "<u4").tobytes()
             found = [pieces(t) + last for t in whole]
             sizes = np.array([len(x) // 4 for x in found], np.int64)
