@@ -4,14 +4,16 @@ A table's hash of a normalised vector v is floor((a_i v + b_i) / w) for k Gaussi
 sphere a cosine is a distance, so k and the number of tables follow from the number of vectors and the
 wanted recall at the threshold: k grows with log N, so that an unrelated vector meets about one other a table.
 
-Equal vectors are one class, counted with its size. Buckets of at most SMALL classes give their pairs;
-larger ones are compared block against block as matrices, where a pair that met in an earlier table is left
-to that table. Every link is confirmed by its cosine in double precision; nothing is capped.
+Equal vectors are one class, counted with its size. A bucket of at most SMALL classes gives their pairs, so a class
+has at most SMALL - 1 of them a table. Larger buckets are compared block against block as matrices; a pair counts in
+the first table where it shares a large bucket, and pairs of small buckets that share a large one are left to that.
+So each pair counts once, and a large bucket writes a count for each class and a spanning forest of its links, never
+its links. Every link is confirmed by its cosine in double precision; nothing is capped.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing
 (n_links 0, own component, kept); vectors of different lengths never link; rows that repeat a vec_id count
 as vectors of their own; a null vec_id has no component; an empty table gives an empty result; other columns
-are ignored.
+are ignored, clashing names too; components tie to the smallest vec_id.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import GOLDEN, Stage, components, mix64, read
 
-SMALL, BLOCK = 16, 256
+SMALL, BLOCK = 16, 1024
 WIDTH = 2.0
 
 
@@ -96,22 +98,56 @@ def _cosines(cosine: float):
 
 
 def _block_links(cosine: float):
+    """Of one block pair: (a, b, n) with b null and n the vectors that class a links with, or b a link of a spanning forest."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         n = table.num_rows
-        side, rep, t = (table.column(c).to_numpy() for c in ("side", "rep", "t"))
-        keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(n, -1)
+        side, rep, c = (table.column(x).to_numpy() for x in ("side", "rep", "c"))
+        t = int(table.column("t")[0].as_py())
+        large = table.column("large").combine_chunks()
+        at = np.repeat(np.arange(n), np.diff(large.offsets.to_numpy()))
+        entries = large.flatten()
+        earlier, bucket = entries.field("t").to_numpy(), entries.field("bucket").to_numpy()
+        keys = np.arange(n, dtype=np.int64)[:, None] * np.ones(t, np.int64) if t else np.empty((n, 0), np.int64)
+        held = np.zeros((n, t), bool)
+        before = earlier < t
+        keys[at[before], earlier[before]], held[at[before], earlier[before]] = bucket[before], True
         unit = _unit(np.array(table.column("v").to_pylist(), np.float64).reshape(n, -1))
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        i, j = np.nonzero(unit[left] @ unit[right].T >= cosine)
-        x, y = left[i], right[j]
-        # within one block each pair is there twice, and each vector meets itself; between blocks it is there once
-        ok = (rep[x] < rep[y]) | ((side[x] == 0) & (side[y] == 1))
-        x, y = x[ok], y[ok]
-        for at in range(0, int(t[0]) if n else 0):
-            first = keys[x, at] != keys[y, at]
-            x, y = x[first], y[first]
-        return pa.table({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y])})
+        degree = np.zeros(n, np.int64)
+        up = np.arange(n)
+
+        def find(x: int) -> int:
+            root = x
+            while up[root] != root:
+                root = up[root]
+            while up[x] != root:
+                up[x], x = root, up[x]
+            return root
+
+        forest: list[tuple[int, int]] = []
+        for start in range(0, len(left), 128):
+            some = left[start : start + 128]
+            i, j = np.nonzero(unit[some] @ unit[right].T >= cosine)
+            x, y = some[i], right[j]
+            # within one block each pair is there twice, and each vector meets itself; between blocks it is there once
+            ok = (rep[x] < rep[y]) | ((side[x] == 0) & (side[y] == 1))
+            x, y = x[ok], y[ok]
+            for e in range(t):
+                first = ~(held[x, e] & held[y, e] & (keys[x, e] == keys[y, e]))
+                x, y = x[first], y[first]
+            np.add.at(degree, x, c[y])
+            np.add.at(degree, y, c[x])
+            for p, q in zip(x.tolist(), y.tolist()):
+                p, q = find(p), find(q)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    forest.append((p, q))
+        some = np.flatnonzero(degree)
+        a = np.concatenate([rep[some], rep[[p for p, _ in forest]] if forest else np.empty(0, np.int64)])
+        b = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(rep[[q for _, q in forest]] if forest else [], pa.int64())])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": b, "n": pa.concat_arrays([pa.array(degree[some], pa.int64()), pa.nulls(len(forest), pa.int64())])})
 
     return run
 
@@ -130,19 +166,25 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.98,
     met = coded.select("rep", F.posexplode("keys").alias("t", "bucket"))
     many = met.groupBy("bucket", "t").agg(F.count("*").alias("size")).where("size > 1")
     members = stage.write(met.join(many, ["bucket", "t"]), "members")
+    big = members.where(F.col("size") > SMALL)
+    large_of = big.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("t", "bucket"))).alias("large"))  # at most one a table
+    none = F.array().cast("array<struct<t: int, bucket: bigint>>")
+    of = stage.write(coded.select("rep", "c", "v").join(large_of, "rep", "left").withColumn("large", F.coalesce("large", none)), "of")
     # pairs of small buckets: at most SMALL - 1 partners for each member
     lists = members.where(F.col("size") <= SMALL).groupBy("bucket", "t").agg(F.array_sort(F.collect_list("rep")).alias("r"))
     pairs = lists.select(F.posexplode("r").alias("p", "a"), "r").select("a", F.explode(F.slice("r", F.col("p") + 2, F.lit(SMALL))).alias("b")).distinct()
-    of = coded.select("rep", "v")
-    checked = pairs.join(of.toDF("a", "va"), "a").join(of.toDF("b", "vb"), "b").where("size(va) = size(vb)").mapInArrow(_cosines(cosine), "a long, b long")
-    large = members.where(F.col("size") > SMALL).withColumns({"nb": F.ceil(F.col("size") / BLOCK).cast("int"), "x": F.xxhash64("rep", F.lit(1))}).withColumn("x", F.pmod("x", "nb").cast("int"))
-    copies = large.select("bucket", "t", "rep", "x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"))
+    a, b = (of.select(F.col("rep").alias(x), F.col("v").alias(f"v{x}"), F.col("large").alias(f"large{x}")) for x in "ab")
+    met_small = pairs.join(a, "a").join(b, "b").where("size(va) = size(vb) and not arrays_overlap(largea, largeb)").select("a", "b", "va", "vb")
+    checked = stage.write(met_small.mapInArrow(_cosines(cosine), "a long, b long"), "small")
+    nb = big.withColumns({"nb": F.ceil(F.col("size") / BLOCK).cast("int"), "x": F.xxhash64("rep", F.lit(1))}).withColumn("x", F.pmod("x", "nb").cast("int"))
+    copies = nb.select("bucket", "t", "rep", "x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"))
     copies = copies.select("bucket", "t", "rep", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.when(F.col("x") == F.col("y"), 2).when(F.col("x") < F.col("y"), 0).otherwise(1).alias("side"))
-    blocks = copies.join(coded.select("rep", "v", "keys"), "rep").groupBy("bucket", "t", "i", "j").applyInArrow(_block_links(cosine), "a long, b long")
-    links = stage.write(checked.union(blocks).distinct(), "links")
+    blocks = stage.write(copies.join(of, "rep").groupBy("bucket", "t", "i", "j").applyInArrow(_block_links(cosine), "a long, b long, n long"), "blocks")
+    links = checked.union(blocks.where("b is not null").select("a", "b"))
     comp = components(links, stage)
-    both = links.union(links.select("b", "a")).toDF("rep", "other")
-    degree = both.join(classes.select(F.col("rep").alias("other"), "c"), "other").groupBy("rep").agg(F.sum("c").alias("n"))
+    both = checked.union(checked.select("b", "a")).toDF("rep", "other")
+    counted = both.join(classes.select(F.col("rep").alias("other"), "c"), "other").select("rep", "c").union(blocks.where("n is not null").select("a", "n"))
+    degree = counted.groupBy("rep").agg(F.sum("c").alias("n"))
     of_class = classes.select("rep", "c", "v").join(degree, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("v", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "rep").alias("g"))
     out = rows.join(of_class, "v", "left")

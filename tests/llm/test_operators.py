@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and their defined results for odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -287,6 +288,33 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(empty(spark, "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_near_vectors_recall_at_the_threshold(spark):
+    """Pairs planted just above the threshold are found, those just below are not, in small and large buckets alike."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x)
+    rows = []
+    for i in range(1500):
+        v = unit(rng.standard_normal(32))
+        w = rng.standard_normal(32)
+        w = unit(w - (w @ v) * v)
+        cos = 0.902 + 0.02 * rng.random() if i % 2 else 0.898 - 0.02 * rng.random()
+        rows += [(2 * i, v), (2 * i + 1, cos * v + math.sqrt(1 - cos * cos) * w)]
+    center = unit(rng.standard_normal(32))
+    rows += [(5000 + i, unit(center + rng.standard_normal(32) * 0.055)) for i in range(120)]  # many links within one group
+    rows += [(6000 + i, rows[1][1]) for i in range(3)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    m = np.array([v for _, v in rows])
+    near = m @ m.T >= 0.9
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(df).collect()}
+    true = near.sum(axis=1) - 1
+    found = np.array([got[i].n_links for i, _ in rows])
+    assert (found <= true).all() and found[true == 0].sum() == 0
+    planted = np.array([i < 3000 and (i // 2) % 2 == 1 for i, _ in rows])
+    assert found[planted].sum() >= 0.95 * true[planted].sum()
+    group = np.array([5000 <= i < 5120 for i, _ in rows])
+    assert found[group].sum() >= 0.95 * true[group].sum() > 1000
+
+
 # 8 --- personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
