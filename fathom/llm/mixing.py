@@ -1,23 +1,26 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame and SQL functions alone.
 
-A source has an integer number of units, its target weight; in a round of D = sum of units slots it gets as
-many slots as it has units. Its i-th block of the round (from 0, of a) is released at floor(i D / a) and due at
-ceil((i + 1) D / a); in each slot the released block with the earliest deadline goes, ties to the first source
-by name. At unit utilisation every block meets its deadline, so after any number of slots each source is
-within less than one block of its share.
-
-Rounds repeat, so only distinct ones are scheduled: a source's demand changes only in its last round, which
-holds what is left of it, and after it. There are at most 2 S + 1 kinds of round for S sources, each of D
-slots, however many rows there are; a row finds its slot from its block's number in its source alone.
-
-A source's rows are dealt out in the order of a hash. The order's rank comes from counts of hash ranges
-(chunks), aggregated before the shuffle, and a window over one chunk of one source, so a source with a third
-of all rows is spread over as many tasks as it has chunks.
+A source has an integer number of units, its target weight. All sources that have blocks left share each slot in
+proportion to their units: at virtual time v a source with `a` units and B blocks has had the share min(a v, B), and the
+slot is t(v), the sum of all shares. Its i-th block (from 0) is released at floor t(i / a) and due at
+ceil t((i + 1) / a); in each slot the released block with the earliest deadline goes, ties to the first source by name.
+Between two whole slots the shares add up to the slots between them, so every block meets its deadline, and after any
+number of slots each source is within less than one block of its share, to the last block of the last source.
+
+At whole virtual times all shares are whole, so the rounds [v, v + 1) are scheduled one by one, and alike rounds once:
+a source's demand changes only in the round in which it runs out, and after it. There are at most 2 S + 1 kinds
+of round for S sources, each of at most D slots (the sum of units), however many rows there are; a row finds its slot
+from its block's number in its source alone.
+
+A source's rows are dealt out in the order of a hash. The order's rank comes from counts of hash ranges (chunks, summed
+in two levels), aggregated before the shuffle, and a window over one chunk of one source, so a source with a third of
+all rows is spread over as many tasks as it has chunks.
 
 Every row is kept; when a source runs out, the others go on at their weights. Defined results: a null source
 is a source of its own; rows that repeat are rows of their own (equal ones in any order); a null doc_id is
 ordered first; a source not named in `units` has one unit, a named one without rows takes no part; an empty
-table gives an empty result; other columns, clashing names too, are passed on by :func:`mixed`.
+table gives an empty result; texts, null, empty or very long ones, are not looked at; other columns, clashing names
+too, are passed on by :func:`mixed`. The list of sources, not of rows, is held as one row: it is the mixture's recipe.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from fathom.llm.common import fresh, read
 
 BLOCK_ROWS, UNITS, CHUNK_ROWS = 4, 100, 2_000
+#: Chunks whose counts one task adds up.
+GROUP = 1000
 
 
 def _source_key(source: Column) -> Column:
@@ -36,19 +41,29 @@ def _source_key(source: Column) -> Column:
 
 def tempered(counts: DataFrame, total: int) -> DataFrame:
     """Units in proportion to the square root of a source's rows, at least 1: large sources give way to small ones."""
-    every = Window.partitionBy(F.lit(1))  # one row a source
-    return counts.withColumn("a", F.greatest(F.lit(1), F.floor(F.lit(total) * F.sqrt("rows") / F.sum(F.sqrt("rows")).over(every) + 0.5)).cast("long"))
+    roots = counts.agg(F.sum(F.sqrt("rows")).alias("roots"))
+    return counts.join(F.broadcast(roots)).withColumn("a", F.greatest(F.lit(1), F.floor(F.lit(total) * F.sqrt("rows") / F.col("roots") + 0.5)).cast("long")).drop("roots")  # one row
 
 
-#: Earliest deadline first over one round. demand: units of each source in the round; slots: their sum.
+#: The share of all sources, times the units of source s, when it has had x of its blocks in the round.
+_FLUID = "aggregate(sequence(0, size(demand) - 1), 0L, (t, u) -> t + least(demand[u] * a[s], a[u] * ({x})))"
+
+#: Release and deadline of each block of each source in one round.
+_WINDOWS = f"""
+transform(demand, (d, s) -> transform(if(d > 0, sequence(0L, d - 1), cast(array() as array<bigint>)), i -> named_struct(
+  'release', ({_FLUID.format(x="i")}) div a[s],
+  'deadline', ({_FLUID.format(x="i + 1")} + a[s] - 1) div a[s])))
+"""
+
+#: Earliest deadline first over one round. windows: those of each source's blocks; slots: the number of all blocks.
 _EDF = """
 aggregate(
   sequence(0L, slots - 1),
   named_struct('given', transform(demand, d -> 0L), 'order', cast(array() as array<struct<source: bigint, i: bigint>>)),
   (state, t) -> transform(
-    array(array_min(transform(demand, (d, s) -> if(
-      state.given[s] < d and (state.given[s] * slots) div d <= t,
-      named_struct('due', ((state.given[s] + 1) * slots + d - 1) div d, 's', cast(s as bigint)),
+    array(array_min(transform(windows, (w, s) -> if(
+      state.given[s] < demand[s] and get(w, cast(state.given[s] as int)).release <= t,
+      named_struct('due', get(w, cast(state.given[s] as int)).deadline, 's', cast(s as bigint)),
       null)))),
     next -> named_struct(
       'given', transform(state.given, (g, s) -> if(s = next.s, g + 1, g)),
@@ -61,8 +76,8 @@ aggregate(
 def timetable(blocks: DataFrame) -> DataFrame:
     """Slots of every kind of round, from (key, blocks, a): blocks and units of each source.
 
-    Rows: (key, i, first, past, start, slots, d, at): block i of the source's round goes in slot `at` of rounds
-    first <= round < past, whose slots begin at start + (round - first) * slots.
+    Rows: (key, i, first, past, start, slots, at, release, deadline): block i of the source's round goes in slot `at`
+    of rounds first <= round < past, whose slots begin at start + (round - first) * slots.
     """
     one = blocks.agg(F.array_sort(F.collect_list(F.struct("key", "blocks", "a"))).alias("s"))
     turns = F.array_sort(F.array_distinct(F.flatten(F.expr("concat(array(array(0L)), transform(s, x -> array(x.blocks div x.a, x.blocks div x.a + 1)))"))))
@@ -74,9 +89,12 @@ def timetable(blocks: DataFrame) -> DataFrame:
         F.expr("transform(s, x -> least(x.a, greatest(0L, x.blocks - first * x.a)))").alias("demand"),
         F.expr("aggregate(s, 0L, (t, x) -> t + least(x.blocks, first * x.a))").alias("start"),
     ).withColumn("slots", F.expr("aggregate(demand, 0L, (t, d) -> t + d)"))
-    going = kinds.where("slots > 0").withColumn("order", F.expr(_EDF))
-    slot = going.select("*", F.posexplode("order").alias("at", "o"))
-    return slot.select(F.expr("s[cast(o.source as int)].key").alias("key"), F.expr("o.i").alias("i"), "first", "past", "start", "slots", F.expr("demand[cast(o.source as int)]").alias("d"), F.col("at").cast("long").alias("at"))
+    # a task a few kinds of round
+    going = kinds.where("slots > 0").withColumn("a", F.expr("transform(s, x -> x.a)")).repartition("first")
+    going = going.withColumn("windows", F.expr(_WINDOWS)).withColumn("order", F.expr(_EDF))
+    slot = going.select("s", "first", "past", "start", "slots", "windows", F.posexplode("order").alias("at", "o"))
+    own = F.expr("get(windows[cast(o.source as int)], cast(o.i as int))")
+    return slot.select(F.expr("s[cast(o.source as int)].key").alias("key"), F.expr("o.i").alias("i"), "first", "past", "start", "slots", F.col("at").cast("long").alias("at"), own["release"].alias("release"), own["deadline"].alias("deadline"))
 
 
 def schedule(docs: DataFrame, units: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, total: int = UNITS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -100,8 +118,13 @@ def schedule(docs: DataFrame, units: dict[str, int] | None = None, block_rows: i
     most = counts.agg(F.max("rows")).first()[0] or 0
     chunks = max(1, -(-most // chunk_rows))
     chunked = rows.withColumn("chunk", F.coalesce(F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") * chunks / 2.0**32), F.lit(0)).cast("int"))
-    before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row a chunk
-    sizes = chunked.groupBy("key", "chunk").agg(F.count("*").alias("n")).select("key", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # rows before a chunk: those of the groups of chunks before its own, and of the chunks before it in its group
+    group = F.floor(F.col("chunk") / GROUP).cast("int")
+    each = chunked.groupBy("key", "chunk").agg(F.count("*").alias("n")).withColumn("group", group)
+    inside = Window.partitionBy("key", "group").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # at most GROUP rows
+    across = Window.partitionBy("key").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # one row a group
+    groups = each.groupBy("key", "group").agg(F.sum("n").alias("n")).select("key", "group", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("past"))
+    sizes = each.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(groups, ["key", "group"]).select("key", "chunk", (F.col("past") + F.col("own")).alias("base"))
     sizes = sizes.join(weighed.select("key", "a"), "key")
     within = Window.partitionBy("key", "chunk").orderBy("h", "row.doc_id")
     ranked = chunked.withColumn("nth", F.row_number().over(within)).join(sizes, ["key", "chunk"]).withColumn("r", F.col("base") + F.col("nth") - 1)
@@ -114,8 +137,8 @@ def schedule(docs: DataFrame, units: dict[str, int] | None = None, block_rows: i
         "block",
         (begin + F.col("at")).alias("slot"),
         "place",
-        (begin + F.expr("(t.i * slots) div d")).alias("release"),
-        (begin + F.expr("((t.i + 1) * slots + d - 1) div d")).alias("deadline"),
+        (begin + F.col("release")).alias("release"),
+        (begin + F.col("deadline")).alias("deadline"),
     )
     return placed.join(table.alias("t"), meets).select("row.*", place.alias(name))
 
@@ -140,6 +163,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(read(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "mix.*")
 
 
+#: From the definition, slot by slot over all sources' blocks, without rounds.
 SQL = """
 WITH RECURSIVE rows_ AS (
     SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS key, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents
@@ -151,38 +175,25 @@ weighed AS (
     FROM counts
 ),
 placed AS (
-    SELECT r.doc_id, r.source, r.key, w.a, (nth - 1) // 4 AS block, (nth - 1) % 4 AS place, ((nth - 1) // 4) // w.a AS round, ((nth - 1) // 4) % w.a AS i
-    FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY h, doc_id) AS nth FROM rows_) r JOIN weighed w ON r.key = w.key
-),
-turns AS (
-    SELECT first, lead(first) OVER (ORDER BY first) AS past FROM
-    (SELECT DISTINCT unnest([0, blocks // a, blocks // a + 1]) AS first FROM weighed)
-),
-demands AS (
-    SELECT t.first, t.past, w.key, least(w.a, greatest(0, w.blocks - t.first * w.a)) AS d, least(w.blocks, t.first * w.a) AS done
-    FROM turns t CROSS JOIN weighed w
+    SELECT doc_id, source, key, (nth - 1) // 4 AS block, (nth - 1) % 4 AS place
+    FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY h, doc_id) AS nth FROM rows_)
 ),
-kinds AS (
-    SELECT first, any_value(past) AS past, CAST(sum(d) AS BIGINT) AS slots, CAST(sum(done) AS BIGINT) AS start,
-           list({'key': key, 'd': CAST(d AS BIGINT), 'g': CAST(0 AS BIGINT)} ORDER BY key) AS s
-    FROM demands GROUP BY first HAVING sum(d) > 0
+numbered AS (SELECT *, unnest(range(blocks)) AS i FROM weighed),
+windows AS (
+    SELECT n.key, n.i, CAST(sum(least(u.blocks * n.a, u.a * n.i)) // n.a AS BIGINT) AS release,
+           CAST((sum(least(u.blocks * n.a, u.a * (n.i + 1))) + n.a - 1) // n.a AS BIGINT) AS deadline
+    FROM numbered n CROSS JOIN weighed u GROUP BY n.key, n.i, n.a
 ),
+listed AS (SELECT key, list(release ORDER BY i) AS r, list(deadline ORDER BY i) AS d FROM windows GROUP BY key),
 edf AS (
-    SELECT first, slots, CAST(-1 AS BIGINT) AS t, s, CAST(NULL AS VARCHAR) AS went, CAST(NULL AS BIGINT) AS i FROM kinds
+    SELECT CAST(-1 AS BIGINT) AS t, (SELECT list({'key': key, 'r': r, 'd': d, 'g': CAST(0 AS BIGINT)} ORDER BY key) FROM listed) AS s, CAST(NULL AS VARCHAR) AS went, CAST(NULL AS BIGINT) AS i
     UNION ALL
-    SELECT first, slots, t + 1,
-           list_transform(s, lambda x: {'key': x.key, 'd': x.d, 'g': x.g + CASE WHEN x.key = best.key THEN 1 ELSE 0 END}), best.key, best.g
+    SELECT t + 1, list_transform(s, lambda x: {'key': x.key, 'r': x.r, 'd': x.d, 'g': x.g + CASE WHEN x.key = best.key THEN 1 ELSE 0 END}), best.key, best.g
     FROM (
-        SELECT *, list_min(list_transform(list_filter(s, lambda x: x.g < x.d AND (x.g * slots) // greatest(x.d, 1) <= t + 1),
-                           lambda x: {'due': ((x.g + 1) * slots + x.d - 1) // greatest(x.d, 1), 'key': x.key, 'g': x.g})) AS best
-        FROM edf WHERE t + 1 < slots
+        SELECT *, list_min(list_transform(list_filter(s, lambda x: x.g < len(x.r) AND x.r[x.g + 1] <= t + 1), lambda x: {'due': x.d[x.g + 1], 'key': x.key, 'g': x.g})) AS best
+        FROM edf WHERE t + 1 < (SELECT sum(blocks) FROM weighed)
     )
 )
-SELECT p.doc_id, p.source, CAST(p.block AS BIGINT) AS block, CAST(k.start + (p.round - k.first) * k.slots + e.t AS BIGINT) AS slot, CAST(p.place AS BIGINT) AS place,
-       CAST(k.start + (p.round - k.first) * k.slots + (p.i * k.slots) // greatest(d.d, 1) AS BIGINT) AS release,
-       CAST(k.start + (p.round - k.first) * k.slots + ((p.i + 1) * k.slots + d.d - 1) // greatest(d.d, 1) AS BIGINT) AS deadline
-FROM placed p
-JOIN kinds k ON p.round >= k.first AND (k.past IS NULL OR p.round < k.past)
-JOIN edf e ON e.first = k.first AND e.went = p.key AND e.i = p.i
-JOIN demands d ON d.first = k.first AND d.key = p.key
+SELECT p.doc_id, p.source, CAST(p.block AS BIGINT) AS block, CAST(e.t AS BIGINT) AS slot, CAST(p.place AS BIGINT) AS place, w.release, w.deadline
+FROM placed p JOIN edf e ON e.went = p.key AND e.i = p.block JOIN windows w ON w.key = p.key AND w.i = p.block
 """

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -81,11 +82,33 @@ def test_mixing_keeps_every_row_within_one_block(spark):
     slots = got.groupby("slot").agg(source=("source", lambda s: s.iloc[0]), n=("block", "nunique"))
     assert list(slots.index) == list(range(len(slots))) and (slots.n == 1).all()
     assert ((got.release <= got.slot) & (got.slot < got.deadline)).all()
-    # in the first rounds all sources have blocks left: each is within one block of its share
-    total = sum(units.values()) + 2  # the null source and small3 have one unit each
-    for t in range(1, 25):  # the null source has a block in each of two rounds
-        for name, u in units.items():
-            assert abs((slots.source[:t] == name).sum() - t * u / total) < 1
+    within_one_block(slots.source, {"big": 5, "small0": 3, "small1": 1, "small2": 1, "small3": 1, None: 1})
+
+
+def within_one_block(order, units):
+    """After every slot each source is less than one block off its share, whichever sources have run out by then."""
+    names = [None if x != x or x is None else x for x in order]
+    left, share, had = Counter(names), dict.fromkeys(units, Fraction(0)), Counter()
+    for name in names:
+        had[name] += 1
+        now = Fraction(1)
+        while now:  # one slot of time, in proportion to units, in steps in which no source runs out
+            going = {n: u for n, u in units.items() if share[n] < left[n]}
+            total = sum(going.values())
+            step = min([now, *((left[n] - share[n]) * total / u for n, u in going.items())])
+            for n, u in going.items():
+                share[n] += step * u / total
+            now -= step
+        assert all(abs(had[n] - share[n]) < 1 for n in units)
+
+
+@pytest.mark.parametrize("units, blocks", [({"a": 50, "b": 50}, {"a": 51, "b": 300}), ({"a": 50, "b": 30, "c": 20}, {"a": 20, "b": 90, "c": 90}), ({"a": 7, "b": 2, "c": 3}, {"a": 3, "b": 1, "c": 40})])
+def test_mixing_is_fair_to_the_last_block(spark, units, blocks):
+    rows = [(i, name) for name, n in blocks.items() for i in range(n)]
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), units, block_rows=1, chunk_rows=7).select("source", "mix.*").orderBy("slot").collect()
+    assert [r.slot for r in got] == list(range(len(rows)))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    within_one_block([r.source for r in got], units)
 
 
 def test_mixing_odd_inputs(spark, docs):
