@@ -10,14 +10,22 @@ Steps, each over all documents:
    two segments or more can hold a recurring window.
 2. Segments of recurring anchors are read again as text. Equal segments are counted together before the
    shuffle, so a passage with millions of copies is one row; windows of the remaining distinct segments are
-   counted by (anchor hash, window hash), 128 bits in all. That confirms the recurring passages.
-3. The confirmed passages are compiled into Aho-Corasick automata, one a shard of documents (a bounded batch
-   of rows with the passages confirmed for them), and the shard's whole texts stream through its automaton,
-   which locates every occurrence of any of them. The covered words go.
+   counted by (anchor hash, window hash), 128 bits in all. That confirms the recurring windows, of each of which one
+   place, the least, is kept as its passage.
+3. Passages and segments go to the shard of their anchor. A shard compiles its passages into an Aho-Corasick
+   automaton, and all its segments stream through it: it alone says where in a segment the passages of
+   other segments occur. A window is a pattern of a few symbols, one for each phrase of `_gram(window)` words that it
+   consists of, so its automaton is that much smaller than one over words, and a segment streams through once a phase.
+   Shards with many passages or segments are cut into blocks, in which every passage meets every segment.
+4. The words of the located windows go, document by document.
+
+Equal segments stream once; documents get the windows of the segments they hold. Results are those of streaming every
+whole document through every shard, without as many passes as there are shards.
 
 Defined results: a null or blank text has no words; repeated rows are windows that recur; a null doc_id is
 an ordinary document; fewer than `window` words never lose any; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored, clashing names too; of equal windows the least (segment hash, place) stands for all. A very long
+text is one task's work and is held as a list of its words; its segments are dealt out as those of other texts.
 """
 
 from __future__ import annotations
@@ -32,6 +40,8 @@ from pyspark.sql import functions as F
 from fathom.llm.common import Stage, WordHashes, in_batches, read, rolling_hashes, texts
 
 WINDOW, ANCHOR = 35, 8
+#: Windows of an automaton and segments that one task streams through it.
+SHARD_WINDOWS, SHARD_SEGMENTS = 200_000, 40_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -115,37 +125,96 @@ def _windows(window: int):
     return run
 
 
-def _remove(window: int):
-    """Locate the confirmed passages in the shard's documents and leave out the words they cover."""
+def _gram(window: int) -> int:
+    """Words a symbol: the largest divisor of a window that is at most half of it."""
+    return next(g for g in range(max(window // 2, 1), 0, -1) if window % g == 0)
 
-    def run(batches):
+
+def _by_phase(sizes: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of segments with these numbers of phrases: each phrase's place within its segment, and its place in the stream.
+
+    The stream has a segment's phrases 0, gram, 2 gram, ..., then 1, gram + 1, ... and so on; a gap ends each.
+    """
+    lengths = np.maximum(sizes[:, None] - np.arange(gram) + gram - 1, 0) // gram
+    ends = np.cumsum(lengths.reshape(-1) + 1)
+    starts = (ends - lengths.reshape(-1) - 1).reshape(-1, gram)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return place, starts[owner, place % gram] + place // gram
+
+
+def _locate(window: int):
+    """Of one block (kind 0: passages with the offsets of their windows; kind 1: segments) the windows found in its segments."""
+
+    def run(table: pa.Table) -> pa.Table:
         import ahocorasick
 
-        for batch in in_batches(batches, "text", 1_000_000):
-            rows = []
-            passages: dict[str, int] = {}
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
-                words = [w.decode() for w in (text or "").encode().split()]
-                rows.append(words)
-                for r in _merged(ranges):
-                    span = words[r[0] : r[1] + window - 1]
-                    passages[" " + " ".join(span) + " "] = len(span)
-            automaton = ahocorasick.Automaton()
-            for passage, size in passages.items():
-                automaton.add_word(passage, size)
+        gram, hashes = _gram(window), WordHashes()
+        symbols = window // gram
+
+        def phrases(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            parts = [t.split() for t in texts_]
+            each = [rolling_hashes(x, gram) for x in np.split(hashes([w for p in parts for w in p]), np.cumsum([len(p) for p in parts])[:-1])]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+        kind = table.column("kind").to_numpy()
+        passages, segments = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1))
+        out: tuple[list, list, list] = ([], [], [])
+        if passages.num_rows and segments.num_rows:
+            flat, sizes = phrases(passages.column("seg").to_pylist())
+            begin = np.cumsum(sizes) - sizes
+            offs = passages.column("offs").to_pylist()
+            first = np.repeat(begin, [len(x) for x in offs]) + np.array([o for x in offs for o in x], np.int64)
+            pattern = flat[first[:, None] + gram * np.arange(symbols)]
+            known = np.unique(pattern)
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+            for word in (np.searchsorted(known, pattern) + 1).tolist():
+                automaton.add_word(tuple(word))
             automaton.make_automaton()
+            for at in range(0, segments.num_rows, 4000):
+                part = segments.slice(at, 4000)
+                flat, sizes = phrases(part.column("seg").to_pylist())
+                place, to = _by_phase(sizes, gram)
+                where = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                stream, source = np.zeros(int(to.max()) + 2, np.int64), np.zeros(int(to.max()) + 2, np.int64)
+                stream[to] = np.where(known[where] == flat, where + 1, 0)
+                source[to] = np.arange(len(flat))
+                ends = np.fromiter((end for end, _ in automaton.iter(tuple(stream.tolist()))), np.int64)
+                if not len(ends):
+                    continue
+                starts = np.sort(source[ends - symbols + 1])
+                owner = np.searchsorted(np.cumsum(sizes), starts, "right")
+                off = place[starts]
+                new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(off, prepend=-2) != 1))
+                past = off[np.append(new[1:], len(off)) - 1] + 1
+                listed: dict[int, list] = {}
+                for o, i, j in zip(owner[new].tolist(), off[new].tolist(), past.tolist()):
+                    listed.setdefault(o, []).append({"off": i, "to": j})
+                k, s = part.column("k").to_pylist(), part.column("s").to_pylist()
+                out[0].extend(k[o] for o in listed)
+                out[1].extend(s[o] for o in listed)
+                out[2].extend(listed.values())
+        runs = pa.array(out[2], pa.list_(pa.struct([("off", pa.int32()), ("to", pa.int32())])))
+        return pa.table({"k": pa.array(out[0], pa.int64()), "s": pa.array(out[1], pa.int64()), "runs": runs})
+
+    return run
+
+
+def _remove(window: int):
+    """Leave out the words that the located windows of each text cover."""
+
+    def run(batches):
+        for batch in in_batches(batches, "text", 1_000_000):
             removed, digests = [], []
-            for words in rows:
-                line = " " + " ".join(words) + " "
-                ends = np.cumsum([len(w) + 1 for w in words])  # where the space after each word is
-                edge = np.zeros(len(words) + 1, np.int64)
-                for end, size in automaton.iter(line):
-                    last = int(np.searchsorted(ends, end))
-                    edge[last - size + 1] += 1
-                    edge[last + 1] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                removed.append(int(gone.sum()))
-                digests.append(hashlib.sha256(" ".join([w for w, g in zip(words, gone) if not g]).encode()).hexdigest())
+            for text, ranges in zip(texts(batch.column("text")), batch.column("ranges").to_pylist()):
+                words = text.split()
+                kept, at = [], 0
+                for i, j in _merged(ranges):
+                    kept += words[at:i]
+                    at = max(at, j + window - 1)
+                kept += words[at:]
+                removed.append(len(words) - len(kept))
+                digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), pa.array(removed, pa.int64()), pa.array(digests)], ["d", "h", "n_removed", "kept"])
 
     return run
@@ -162,6 +231,21 @@ def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+def _located(passages: DataFrame, segments: DataFrame, window: int) -> DataFrame:
+    """(k, s, runs): the windows of passages (k, s, seg, offs) that segments (k, s, seg) hold, shard by shard."""
+    n_windows, n_segments = passages.agg(F.coalesce(F.sum(F.size("offs")), F.lit(0))).first()[0], segments.count()
+    shards = 1 + max(n_windows // SHARD_WINDOWS, n_segments // SHARD_SEGMENTS)
+    shard = F.pmod("k", F.lit(shards)).cast("long")
+    own = passages.groupBy(shard.alias("shard")).agg(F.ceil(F.sum(F.size("offs")) / SHARD_WINDOWS).cast("int").alias("nq"))
+    size = own.join(segments.groupBy(shard.alias("shard")).agg(F.ceil(F.count("*") / SHARD_SEGMENTS).cast("int").alias("nc")), "shard")
+    if shards < 1_000_000:
+        size = F.broadcast(size)  # a row a shard, 16 bytes each: checked above
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = passages.withColumn("shard", shard).join(size, "shard").select("shard", F.pmod("s", "nq").cast("int").alias("q"), every("nc").alias("part"), F.lit(0).alias("kind"), "k", "s", "seg", "offs")
+    right = segments.withColumn("shard", shard).join(size, "shard").select("shard", every("nq").alias("q"), F.pmod("s", "nc").cast("int").alias("part"), F.lit(1).alias("kind"), "k", "s", "seg", F.lit(None).cast("array<int>").alias("offs"))
+    return left.unionByName(right).groupBy("shard", "q", "part").applyInArrow(_locate(window), "k long, s long, runs array<struct<off: int, to: int>>")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row of docs (doc_id, text)."""
     if not 0 < anchor <= window:
@@ -178,22 +262,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     candidates = stage.write(rows.select(*key, "text").join(found, ["d", "h"]), "candidates")
     stage.drop("recurring")
     placed = stage.write(candidates.mapInArrow(_segment_texts(window), "k long, d long, h long, i int, n int, seg binary").withColumn("s", F.xxhash64("seg")), "segments")
-    distinct = placed.groupBy("k", "s", "seg").agg(F.count("*").alias("c"))
-    windows = stage.write(distinct.mapInArrow(_windows(window), "k long, w long, s long, off int, c long"), "windows")
-    counted = windows.groupBy("k", "w").agg(F.sum("c").alias("total"), F.count("*").alias("rows"))
-    # windows of a segment that is there twice recur whatever else there is; the others are looked up
-    alone = windows.where("c = 1").join(counted.where("total > 1").select("k", "w"), ["k", "w"], "left_semi").select("k", "s", "off", (F.col("off") + 1).alias("to"))
-    whole = windows.where("c > 1").groupBy("k", "s").agg(F.lit(0).alias("off"), (F.max("off") + 1).alias("to"))
-    # of each segment the windows that recur, as one run where they are consecutive
-    runs = alone.unionByName(whole).groupBy("k", "s").agg(F.min("off").alias("first"), F.max("to").alias("past"), F.sum(F.col("to") - F.col("off")).alias("n"), F.collect_list(F.struct("off", "to")).alias("runs"))
-    one = F.array(F.struct(F.col("first").alias("off"), F.col("past").alias("to")))
-    confirmed = stage.write(runs.select("k", "s", F.when(F.col("n") == F.col("past") - F.col("first"), one).otherwise(F.col("runs")).alias("runs")), "confirmed")
-    stage.drop("windows")
-    ranges = placed.select("k", "s", "d", "h", "i").join(confirmed, ["k", "s"]).select("d", "h", F.transform("runs", lambda r: F.struct((F.col("i") + r["off"]).alias("i"), (F.col("i") + r["to"]).alias("j"))).alias("runs"))
+    distinct = stage.write(placed.groupBy("k", "s", "seg").agg(F.count("*").alias("c")), "distinct")
+    places = placed.select("k", "s", "d", "h", "i")
+    windows = distinct.mapInArrow(_windows(window), "k long, w long, s long, off int, c long")
+    counted = windows.groupBy("k", "w").agg(F.sum("c").alias("total"), F.min(F.struct("s", "off")).alias("at")).where("total > 1")
+    passages = counted.groupBy("k", F.col("at.s").alias("s")).agg(F.collect_list("at.off").alias("offs"))  # at most window - anchor + 1 of them
+    passages = stage.write(passages.join(distinct.select("k", "s", "seg"), ["k", "s"]), "passages")
+    located = stage.write(_located(passages, distinct.select("k", "s", "seg"), window), "located")
+    ranges = places.join(located, ["k", "s"]).select("d", "h", F.transform("runs", lambda r: F.struct((F.col("i") + r["off"]).alias("i"), (F.col("i") + r["to"]).alias("j"))).alias("runs"))
     per_doc = ranges.groupBy("d", "h").agg(F.flatten(F.collect_list("runs")).alias("ranges"))
     located = candidates.select("d", "h", "text").join(per_doc, ["d", "h"]).mapInArrow(_remove(window), "d long, h long, n_removed long, kept string")
     changed = stage.write(located.dropDuplicates(["d", "h"]), "changed")
-    for name in ("candidates", "segments", "confirmed"):
+    for name in ("candidates", "segments", "distinct", "passages", "located"):
         stage.drop(name)
     out = scan.select("doc_id", *key, "n_words", "sha").join(changed, ["d", "h"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))

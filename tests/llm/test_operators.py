@@ -397,6 +397,39 @@ def test_repeated_passages(docs, corpus, window):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_passages_are_located_by_the_automaton(corpus):
+    """Passages of some texts are found at all their places in others, and without passages nothing is."""
+    import pyarrow as pa
+
+    window, rng = 35, random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*(rng.choice("xyz") for _ in range(rng.randrange(30))), *passage[rng.randrange(9) : 40 + rng.randrange(20)], *(rng.choice("xyz") for _ in range(rng.randrange(30)))]) for _ in range(200)]
+    patterns = [(" ".join(passage), [0, 1, 2, 5, 25]), (" ".join("xyz" * 20), [0])]
+    rows = [(0, 1, i, t.encode(), o) for i, (t, o) in enumerate(patterns)] + [(1, 2, i, t.encode(), None) for i, t in enumerate(texts)]
+    schema = pa.schema([("kind", pa.int32()), ("k", pa.int64()), ("s", pa.int64()), ("seg", pa.binary()), ("offs", pa.list_(pa.int32()))])
+    table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+    got = {r["s"]: {o for x in r["runs"] for o in range(x["off"], x["to"])} for r in substring._locate(window)(table).to_pylist()}
+    wanted = {tuple(t.split()[o : o + window]) for t, offs in patterns for o in offs}
+    for i, t in enumerate(texts):
+        w = t.split()
+        assert got.get(i, set()) == {j for j in range(len(w) - window + 1) if tuple(w[j : j + window]) in wanted}
+    assert any(got.values())
+    assert substring._locate(window)(table.slice(len(patterns))).num_rows == 0
+
+
+def test_passages_in_many_small_blocks(spark, monkeypatch):
+    """Blocks of few passages and segments give the same result as one."""
+    rng = random.Random(3)
+    base = [rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(300)]
+    rows = [(i, " ".join(base[(a := rng.randrange(200)) : a + rng.randrange(20, 100)])) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, substring.remove_repeats(df, 12, 4).collect()))
+    monkeypatch.setattr(substring, "SHARD_WINDOWS", 30)
+    monkeypatch.setattr(substring, "SHARD_SEGMENTS", 50)
+    assert sorted(map(tuple, substring.remove_repeats(df, 12, 4).collect())) == whole
+    assert sum(r[2] for r in whole)
+
+
 def test_passages_odd_inputs(spark):
     assert substring.remove_repeats(empty(spark)).count() == 0
     twice = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (-1, "a b c d e")], "doc_id long, text string")
