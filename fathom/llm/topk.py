@@ -8,13 +8,15 @@ largest sum is found from the most significant slice downward. What the shift cu
 can be from its sum, so all rows within that bound of the k-th are boundary rows; they are resolved by exact
 scores. The result is exact, whatever the data.
 
-Queries are the rows the caller names, in blocks of QUERIES; each block meets each index block once, and k rows
-a query leave it.
+Queries are the rows the caller names, in blocks of about QUERIES. Index blocks are dealt into groups of about GROUP; a
+task holds one group and the query blocks stream past it, so an index block is moved once, the queries once a
+group, and k rows a query leave a group.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
 without an id; a query meets vectors of its own length only, and never rows of its own id; ties go to the
 smaller vec_id; fewer than k candidates give fewer rows; an empty table gives an empty result; scores beyond
-64 bits raise an error; other columns are ignored.
+64 bits raise an error; rows that repeat a vec_id are candidates of their own, and the unlike vectors of a repeated
+query id ask together, their best rows under one id; other columns, clashing names too, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import Stage, read
 
-ROWS, QUERIES, KEPT_BITS = 8192, 128, 7
+ROWS, QUERIES, GROUP, KEPT_BITS = 8192, 128, 16, 7
 
 
 def _ints(column: pa.Array, rows: int) -> np.ndarray:
@@ -147,24 +149,51 @@ def _at_least(slices: list[int], among: int, value: int) -> int:
 
 
 def _search(k: int):
+    """Rows come by group, in each the index blocks (kind 0) before the query blocks (kind 1); only one group's index is held."""
+
     def run(batches):
+        group, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                yield _block_top(row, k)
+            for at in range(batch.num_rows):  # one at a time: a row is a block
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["group"] != group:
+                    group, held = row["group"], []
+                if row["kind"] == 0:
+                    held.append(_opened(row))
+                    continue
+                found = pa.Table.from_batches([_block_top(block, row, k) for block in held if block["dim"] == row["dim"]] or [pa.RecordBatch.from_pylist([], _FOUND)])
+                yield from _best(found, k).to_batches()
 
     return run
 
 
-def _block_top(row: dict, k: int) -> pa.RecordBatch:
-    n, dim, bits, shift = row["n"], row["dim"], row["bits"], row["shift"]
-    ids = np.frombuffer(row["ids"], np.int64)
-    ints = np.frombuffer(row["ints"], {2: np.int16, 4: np.int32, 8: np.int64}[row["size"]]).reshape(n, dim)
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _best(found: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each query."""
+    found = found.sort_by([("query_id", "ascending"), ("score", "descending"), ("vec_id", "ascending")])
+    q = found.column("query_id").to_numpy()
+    first = np.flatnonzero(np.diff(q, prepend=q[0] - 1)) if len(q) else np.empty(0, np.int64)
+    nth = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q)))
+    return found.filter(pa.array(nth < k))
+
+
+def _opened(row: dict) -> dict:
+    """An index block with its slices as bitmaps."""
+    n, dim, bits = row["n"], row["dim"], row["bits"]
     packed = np.frombuffer(row["slices"], np.uint8).reshape(dim, bits, -1)
-    full = (1 << n) - 1
     slices = [[int.from_bytes(packed[d, b].tobytes(), "little") for b in range(bits)] for d in range(dim)]
+    ints = np.frombuffer(row["ints"], {2: np.int16, 4: np.int32, 8: np.int64}[row["size"]]).reshape(n, dim)
+    return {"n": n, "dim": dim, "bits": bits, "shift": row["shift"], "ids": np.frombuffer(row["ids"], np.int64), "ints": ints, "slices": slices}
+
+
+def _block_top(block: dict, asked: dict, k: int) -> pa.RecordBatch:
+    n, bits, shift, ids, ints, slices = (block[x] for x in ("n", "bits", "shift", "ids", "ints", "slices"))
+    full = (1 << n) - 1
     top_u = (1 << bits) - 1
     queries, vectors, scores, bound = [], [], [], int(np.abs(ints.astype(np.int64)).max()) if n else 0
-    for q_id, q in zip(row["q_ids"], row["q_vectors"]):
+    for q_id, q in zip(asked["q_ids"], asked["q_vectors"]):
         q = [math.floor(1024.0 * x) for x in q]
         if sum(map(abs, q)) * bound >= 1 << 63:
             raise OverflowError("a score does not fit 64 bits")
@@ -194,7 +223,7 @@ def _block_top(row: dict, k: int) -> pa.RecordBatch:
         queries += [q_id] * len(best)
         vectors += ids[at][best].tolist()
         scores += exact[best].tolist()
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (queries, vectors, scores)], ["query_id", "vec_id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (queries, vectors, scores)], schema=_FOUND)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
@@ -207,12 +236,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     fine = F.col("vec_id").isNotNull() & F.coalesce(F.size(c) > 0, F.lit(False)) & F.coalesce(F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     rows = vectors.where(fine)
     index = stage.write(rows.select("vec_id", c.cast("array<double>").alias("v")).mapInArrow(_index, INDEX), "index")
-    asked = stage.write(rows.where(is_query).select(F.col("vec_id").alias("q_id"), c.cast("array<double>").alias("v")).distinct().withColumn("at", F.monotonically_increasing_id()), "queries")
+    asked = stage.write(rows.where(is_query).select(F.col("vec_id").alias("q_id"), c.cast("array<double>").alias("v")).distinct(), "queries")
     blocks = max(1, math.ceil(asked.count() / QUERIES))
-    grouped = asked.groupBy(F.size("v").alias("dim"), F.pmod("at", F.lit(blocks)).cast("int").alias("q")).agg(F.collect_list(F.struct("q_id", "v")).alias("l"))
-    grouped = grouped.select("dim", "q", F.col("l.q_id").alias("q_ids"), F.col("l.v").alias("q_vectors"))
-    # every index block meets every block of the stated queries: a join on the query block's number
-    pairs = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(grouped, ["dim", "q"])
+    grouped = asked.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("q_id"), F.lit(blocks)).alias("q")).agg(F.collect_list(F.struct("q_id", "v")).alias("l"))
+    asked = grouped.select("dim", F.col("l.q_id").alias("q_ids"), F.col("l.v").alias("q_vectors"))
+    groups = max(1, math.ceil(index.select("n").count() / GROUP))
+    index = index.withColumns({"group": F.pmod(F.xxhash64("ids"), F.lit(groups)), "kind": F.lit(0)})
+    asked = asked.withColumns({"group": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))), "kind": F.lit(1)})
+    pairs = index.unionByName(asked, allowMissingColumns=True).repartition("group").sortWithinPartitions("group", "kind")
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

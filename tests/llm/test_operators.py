@@ -146,6 +146,19 @@ def test_top_k(spark):
     assert topk.top_k(empty(spark, "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_top_k_of_many_blocks(spark, monkeypatch):
+    """Many index blocks in several groups and many query blocks, with ids that repeat, against brute force."""
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "GROUP", 1)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(6)]) for i in range(400)]
+    df = spark.createDataFrame(rows + [(41, rows[41][1])], "vec_id long, embedding array<float>").repartition(5)
+    have = {}
+    for r in topk.top_k(df.where("vec_id <> 41").union(df.where("vec_id = 41").limit(1)), F.col("vec_id") % 5 == 0, k=3).collect():
+        have.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(v) for q, v in have.items()} == brute_top(rows, range(0, 400, 5), 3)
+
+
 def test_bit_arithmetic():
     for x in range(-70, 70):
         assert sum(s << a for a, s in topk._digits(x)) == x
