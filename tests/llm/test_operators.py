@@ -384,6 +384,76 @@ def test_pii(spark):
         assert set(filter(None, shown.split(","))) <= set(r.spans.split(","))
 
 
+def numpy_posteriors(counts):
+    """Two-class expectation-maximisation over (v1, v2, v3) counts, from the published starting point."""
+    start = np.array([0.7, 0.1, 0.2, 0.2, 0.1, 0.7, 0.6, 0.2, 0.3, 0.3, 0.1, 0.5, 0.6, 0.1, 0.35, 0.5, 0.05, 0.4]).reshape(3, 3, 2)
+    votes, n = np.array(sorted(counts)), np.array([counts[k] for k in sorted(counts)], float)
+    share, table = 0.5, start
+
+    def chance():
+        like = np.stack([np.prod([table[j, votes[:, j] + 1, y] for j in range(3)], axis=0) for y in (0, 1)])
+        like *= np.array([[1 - share], [share]])
+        return like[1] / like.sum(axis=0)
+
+    for _ in range(pii.ROUNDS):
+        w = chance()
+        share = ((w * n).sum() + 0.5) / (n.sum() + 1.0)
+        table = np.array([[[(((w if y else 1 - w) * n)[votes[:, j] + 1 == v].sum() + 0.5) / (((w if y else 1 - w) * n).sum() + 1.5) for y in (0, 1)] for v in range(3)] for j in range(3)])
+    return dict(zip(map(tuple, votes.tolist()), chance()))
+
+
+def test_pii_posteriors_equal_numpy(spark):
+    rng = random.Random(8)
+    spans = []
+    for _ in range(900):
+        true = rng.random() < 0.6
+        spans.append((0, *(rng.choices([-1, 0, 1], [1, 2, 6] if true else [6, 2, 1])[0] for _ in range(3))))
+    got = {(r.v1, r.v2, r.v3): r.p for r in pii.posteriors(spark.createDataFrame(spans, "kind int, v1 int, v2 int, v3 int")).collect()}
+    want = numpy_posteriors(Counter(s[1:] for s in spans))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+ADDED = {
+    "email": ["john.doe [at] example [dot] com", "JOHN (AT) MAIL.EXAMPLE.ORG", "jane at example dot net"],
+    "ip": ["97[.]51[.]17[.]173", "97 (dot) 51 (dot) 17 (dot) 173", "2001:db8:0:1:2:3:4:5", "2001:db8::17"],
+    "card": ["4111.1111.1111.1111", "4111  1111  1111  1111", "5500/0000/0000/0004", "3782_822463_10005"],
+    "phone": ["(212) 555-0142", "415.555.0199", "0049 30 1234567"],
+}
+REFUSED = ["97[.]51[.]17[.]973", "4111.1111.1111.1112", "1234_5678_9012_3456"]
+
+
+def test_pii_classifier_adds_spans_of_all_kinds(spark):
+    """Loose forms that labelers vote for are added, those whose check fails are not; without the classifier none is."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    lead = {"email": "contact me by mail: ", "ip": "the server address is ", "card": "paid by credit card ", "phone": "call my phone "}
+    base = {"email": lambda i: f"u{i}@host.example.com", "ip": lambda i: f"97.51.{i}.17", "card": lambda i: "4111 1111 1111 1111", "phone": lambda i: f"+1 (212) 555-01{i:02}"}
+    texts = [f"{word()} {lead[k]}{f(i)} {word()}" for k, f in base.items() for i in range(40)]
+    texts += [f"{word()} serial 9{i:03}-1234-5678-1111 version 999.{i}.300.1 {word()}" for i in range(60)]
+    wanted = {}
+    for kind, forms in ADDED.items():
+        for form in forms:
+            at = f"{word()} {lead[kind]}"
+            wanted[len(texts)] = f"{kind}:{len(at)}:{len(at) + len(form)}"
+            texts.append(f"{at}{form} {word()}")
+    refused = {}
+    for form in REFUSED:
+        refused[len(texts)] = form
+        texts.append(f"{word()} {form} {word()}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in pii.find(df).collect()}
+    assert {i: got[i] for i in wanted} == {i: [s] for i, s in wanted.items()}
+    assert all(got[i] == [""] for i in refused)
+    told = pii.candidates(df, "text", "spans").select("doc_id", pii._shown(pii._accepted(F.col("spans"), {})).alias("s"))
+    assert {r.s for r in told.where(F.col("doc_id").isin(list(wanted))).collect()} == {""}
+
+
+def test_pii_positions_in_a_text_with_many_matches(spark):
+    text = "".join(f"a{i}@b.co 😀" for i in range(3000))
+    r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.spans == ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"a[0-9]+@b\.co", text)) and r.n_email == 3000
+
+
 def test_redact(spark):
     rows = [(0, "mail a@b.org or 10.1.2.3 now", "x"), (1, None, "x"), (2, "clean", "x"), (2, "clean", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii_spans string")
