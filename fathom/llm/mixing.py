@@ -89,9 +89,10 @@ def timetable(blocks: DataFrame) -> DataFrame:
         F.expr("transform(s, x -> least(x.a, greatest(0L, x.blocks - first * x.a)))").alias("demand"),
         F.expr("aggregate(s, 0L, (t, x) -> t + least(x.blocks, first * x.a))").alias("start"),
     ).withColumn("slots", F.expr("aggregate(demand, 0L, (t, d) -> t + d)"))
-    # a task a few kinds of round
-    going = kinds.where("slots > 0").withColumn("a", F.expr("transform(s, x -> x.a)")).repartition("first")
-    going = going.withColumn("windows", F.expr(_WINDOWS)).withColumn("order", F.expr(_EDF))
+    # a task a few kinds of round; a round's windows are made once and then looked up slot by slot
+    going = kinds.where("slots > 0").withColumn("a", F.expr("transform(s, x -> x.a)")).repartition(blocks.sparkSession.sparkContext.defaultParallelism, "first")
+    round_ = F.expr(f"transform(array({_WINDOWS}), windows -> named_struct('windows', windows, 'order', {_EDF}))[0]")
+    going = going.select("s", "first", "past", "start", "slots", round_.alias("r")).select("s", "first", "past", "start", "slots", "r.windows", "r.order")
     slot = going.select("s", "first", "past", "start", "slots", "windows", F.posexplode("order").alias("at", "o"))
     own = F.expr("get(windows[cast(o.source as int)], cast(o.i as int))")
     return slot.select(F.expr("s[cast(o.source as int)].key").alias("key"), F.expr("o.i").alias("i"), "first", "past", "start", "slots", F.col("at").cast("long").alias("at"), own["release"].alias("release"), own["deadline"].alias("deadline"))

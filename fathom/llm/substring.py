@@ -16,6 +16,8 @@ Steps, each over all documents:
    automaton, and all its segments stream through it: it alone says where in a segment the passages of
    other segments occur. A window is a pattern of a few symbols, one for each phrase of `_gram(window)` words that it
    consists of, so its automaton is that much smaller than one over words, and a segment streams through once a phase.
+   A symbol is its number in the shard, written in DIGIT-fold letters (pyahocorasick looks children up one by one, so no
+   node may have many); the first letter of a number is of another alphabet, so no match begins within a number.
    Shards with many passages or segments are cut into blocks, in which every passage meets every segment.
 4. The words of the located windows go, document by document.
 
@@ -41,7 +43,7 @@ from fathom.llm.common import Stage, WordHashes, in_batches, read, rolling_hashe
 
 WINDOW, ANCHOR = 35, 8
 #: Windows of an automaton and segments that one task streams through it.
-SHARD_WINDOWS, SHARD_SEGMENTS = 200_000, 40_000
+SHARD_WINDOWS, SHARD_SEGMENTS = 50_000, 40_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -143,6 +145,19 @@ def _by_phase(sizes: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     return place, starts[owner, place % gram] + place // gram
 
 
+#: Bits of a letter.
+DIGIT = 6
+
+
+def _letters(numbers: np.ndarray, digits: int) -> np.ndarray:
+    """Numbers as rows of `digits` letters; -1 as letters that no pattern has."""
+    shifts = DIGIT * np.arange(digits - 1, -1, -1)
+    out = ((numbers[..., None] >> shifts) & ((1 << DIGIT) - 1)) + 1
+    out[..., 0] += 1 << DIGIT
+    out[numbers < 0] = 0
+    return out.astype(np.uint8)
+
+
 def _locate(window: int):
     """Of one block (kind 0: passages with the offsets of their windows; kind 1: segments) the windows found in its segments."""
 
@@ -167,19 +182,21 @@ def _locate(window: int):
             first = np.repeat(begin, [len(x) for x in offs]) + np.array([o for x in offs for o in x], np.int64)
             pattern = flat[first[:, None] + gram * np.arange(symbols)]
             known = np.unique(pattern)
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-            for word in (np.searchsorted(known, pattern) + 1).tolist():
-                automaton.add_word(tuple(word))
+            digits = -(-len(known).bit_length() // DIGIT)
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for word in _letters(np.searchsorted(known, pattern), digits).reshape(len(pattern), -1):
+                automaton.add_word(word.tobytes().decode("latin-1"))
             automaton.make_automaton()
             for at in range(0, segments.num_rows, 4000):
                 part = segments.slice(at, 4000)
                 flat, sizes = phrases(part.column("seg").to_pylist())
                 place, to = _by_phase(sizes, gram)
                 where = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                stream, source = np.zeros(int(to.max()) + 2, np.int64), np.zeros(int(to.max()) + 2, np.int64)
-                stream[to] = np.where(known[where] == flat, where + 1, 0)
+                stream, source = np.full(int(to.max()) + 2, -1), np.zeros(int(to.max()) + 2, np.int64)
+                stream[to] = np.where(known[where] == flat, where, -1)
                 source[to] = np.arange(len(flat))
-                ends = np.fromiter((end for end, _ in automaton.iter(tuple(stream.tolist()))), np.int64)
+                found = automaton.iter(_letters(stream, digits).tobytes().decode("latin-1"))
+                ends = np.fromiter((end for end, _ in found), np.int64) // digits
                 if not len(ends):
                     continue
                 starts = np.sort(source[ends - symbols + 1])
