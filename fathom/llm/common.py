@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, kept between batches up to a bounded number of words."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 400_000):
         self.most, self.known = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -116,6 +117,12 @@ class WordHashes:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One a Python worker: words that one task has met are known to the next."""
+    return WordHashes()
+
+
 def hash_words(text: bytes, hashes: WordHashes, most: int = 4_000_000) -> np.ndarray:
     """Hashes of the words of one text, which is split piece by piece, so a long one is never a list of all its words."""
     if len(text) <= most:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import GOLDEN, Stage, WordHashes, components, fresh, hash_words, in_batches, mix64, read, shingle_hashes, texts
+from fathom.llm.common import GOLDEN, Stage, WordHashes, components, fresh, hash_words, in_batches, mix64, read, shingle_hashes, texts, word_hashes
 
 BANDS, ROWS = 40, 5
 #: Shingles signed at a time, followers of a leader checked by one task, and bytes of sets on one side of a block.
@@ -79,7 +79,7 @@ def _signatures(size: int, bands: int, rows: int):
     def run(batches):
         import xxhash
 
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in in_batches(batches, "text", 250_000):
             sets, counts = _shingle_sets(batch, size, hashes)
             ends = np.cumsum(counts)
@@ -103,7 +103,7 @@ def _signatures(size: int, bands: int, rows: int):
 
 def _sets(size: int):
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in in_batches(batches, "text", 250_000):
             sets, counts = _shingle_sets(batch, size, hashes)
             ends = np.cumsum(counts)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import Stage, WordHashes, in_batches, read, rolling_hashes, texts
+from fathom.llm.common import Stage, in_batches, read, rolling_hashes, texts, word_hashes
 
 WINDOW, ANCHOR = 35, 8
 #: Windows of an automaton and segments that one task streams through it.
@@ -71,7 +71,7 @@ def _segments(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray,
 
 def _scan(window: int, anchor: int):
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in in_batches(batches, "text"):
             counts, digests, keys, firsts, lengths, ends = [], [], [], [], [], [0]
             for text in texts(batch.column("text")):
@@ -110,7 +110,7 @@ def _windows(window: int):
     """Of each distinct segment the hashes of its windows."""
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -149,13 +149,12 @@ def _by_phase(sizes: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
 DIGIT = 6
 
 
-def _letters(numbers: np.ndarray, digits: int) -> np.ndarray:
-    """Numbers as rows of `digits` letters; -1 as letters that no pattern has."""
-    shifts = DIGIT * np.arange(digits - 1, -1, -1)
-    out = ((numbers[..., None] >> shifts) & ((1 << DIGIT) - 1)) + 1
-    out[..., 0] += 1 << DIGIT
-    out[numbers < 0] = 0
-    return out.astype(np.uint8)
+def _letters(n: int, digits: int) -> np.ndarray:
+    """The numbers below n as rows of `digits` letters, and a last row of letters that no number has."""
+    numbers, out = np.arange(n), np.zeros((n + 1, digits), np.uint8)
+    for i in range(digits):
+        out[:n, i] = ((numbers >> (DIGIT * (digits - 1 - i))) & ((1 << DIGIT) - 1)) + (1 if i else 1 + (1 << DIGIT))
+    return out
 
 
 def _locate(window: int):
@@ -164,7 +163,7 @@ def _locate(window: int):
     def run(table: pa.Table) -> pa.Table:
         import ahocorasick
 
-        gram, hashes = _gram(window), WordHashes()
+        gram, hashes = _gram(window), word_hashes()
         symbols = window // gram
 
         def phrases(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,18 +183,20 @@ def _locate(window: int):
             known = np.unique(pattern)
             digits = -(-len(known).bit_length() // DIGIT)
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for word in _letters(np.searchsorted(known, pattern), digits).reshape(len(pattern), -1):
-                automaton.add_word(word.tobytes().decode("latin-1"))
+            letters = _letters(len(known), digits)
+            patterns, length = letters[np.searchsorted(known, pattern)].tobytes().decode("latin-1"), symbols * digits
+            for start in range(0, len(patterns), length):
+                automaton.add_word(patterns[start : start + length])
             automaton.make_automaton()
             for at in range(0, segments.num_rows, 4000):
                 part = segments.slice(at, 4000)
                 flat, sizes = phrases(part.column("seg").to_pylist())
                 place, to = _by_phase(sizes, gram)
                 where = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                stream, source = np.full(int(to.max()) + 2, -1), np.zeros(int(to.max()) + 2, np.int64)
-                stream[to] = np.where(known[where] == flat, where, -1)
+                stream, source = np.zeros((int(to.max()) + 2, digits), np.uint8), np.zeros(int(to.max()) + 2, np.int64)
+                stream[to] = letters[np.where(known[where] == flat, where, len(known))]
                 source[to] = np.arange(len(flat))
-                found = automaton.iter(_letters(stream, digits).tobytes().decode("latin-1"))
+                found = automaton.iter(stream.tobytes().decode("latin-1"))
                 ends = np.fromiter((end for end, _ in found), np.int64) // digits
                 if not len(ends):
                     continue
