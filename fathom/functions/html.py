@@ -33,7 +33,8 @@ def title(html: Column) -> Column:
 def meta(html: Column, name: str) -> Column:
     """Content of the first meta tag with this property or name."""
     tag = F.regexp_extract(F.left(html, F.lit(SCAN_CHARS)), rf"(?is)<meta\b[^>]*\b(?:property|name)\s*=\s*[\"']{name}[\"'][^>]*>", 0)
-    return _none_if_empty(decode_entities(F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 1)))
+    content = r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+    return _none_if_empty(decode_entities(F.concat(F.regexp_extract(tag, content, 1), F.regexp_extract(tag, content, 2))))  # one of them is empty
 
 
 def headings(html: Column, most: int = 5) -> Column:

@@ -79,5 +79,14 @@ def mark_matches(text: Column, tokens: Column) -> Column:
     return F.replace(F.replace(escape_xml(plain), F.lit(_OPEN), F.lit("<match>")), F.lit(_SHUT), F.lit("</match>"))
 
 
+def segments(text: Column, tokens: Column) -> Column:
+    """text as an array of structs (text, hit): words that start with a token, and what stands between them."""
+    any_of = F.array_join(tokens, "|")
+    marked = F.regexp_replace(text, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])((?:"), any_of, F.lit(")[a-z0-9]*)")), F.lit(f"{_OPEN}$1{_SHUT}"))
+    parts = F.split(F.when(F.size(tokens) > 0, marked).otherwise(text), f"(?={_OPEN})|{_SHUT}")
+    cut = F.transform(parts, lambda p: F.struct(F.replace(p, F.lit(_OPEN), F.lit("")).alias("text"), F.startswith(p, F.lit(_OPEN)).alias("hit")))
+    return F.filter(cut, lambda p: p["text"] != "")
+
+
 def month_year(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "MMM yyyy")

@@ -47,17 +47,20 @@ def due(queue: DataFrame, now_ms: int) -> DataFrame:
     return queue.where(F.col("not_before").isNull() | (F.col("not_before") <= now_ms))
 
 
-def waves(records: DataFrame, order: str = "date_added") -> DataFrame:
+def waves(records: DataFrame, order: str = "date_added", ranges: int = 1000) -> DataFrame:
     """(id, host, wave, slot): rounds in which no host has more than two requests.
 
-    A wave holds a host's next two requests; slots of six within it keep the overall bound. Slots are numbered
-    within a wave's hash ranges, so neither a host nor a wave is one task's work.
+    A wave holds a host's next two requests; slots of six within it keep the overall bound. A wave's rows are numbered in
+    ranges of the order, whose counts add up, so a wave is not one task's work; a host's own rows are.
     """
     host = url.host_or_self(F.col("url"))
-    turn = Window.partitionBy("host").orderBy(order, "id")
-    placed = records.select("id", host.alias("host"), F.col(order)).withColumn("wave", F.ceil(F.row_number().over(turn) / PER_HOST).cast("long"))
-    within = Window.partitionBy("wave").orderBy(order, "id")
-    return placed.withColumn("slot", F.ceil(F.row_number().over(within) / AT_ONCE).cast("long")).select("id", "host", "wave", "slot")
+    placed = records.select("id", host.alias("host"), F.col(order).alias("o")).withColumn("wave", F.ceil(F.row_number().over(Window.partitionBy("host").orderBy("o", "id")) / PER_HOST).cast("long"))
+    ends = records.agg(F.min(order).alias("low"), F.max(order).alias("high"))
+    ranged = placed.join(F.broadcast(ends)).withColumn("part", F.floor((F.col("o") - F.col("low")) * ranges / (F.col("high") - F.col("low") + 1)).cast("int")).drop("low", "high")  # one row
+    before = Window.partitionBy("wave").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most `ranges` rows
+    base = ranged.groupBy("wave", "part").agg(F.count("*").alias("n")).select("wave", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    nth = F.row_number().over(Window.partitionBy("wave", "part").orderBy("o", "id"))
+    return ranged.withColumn("nth", nth).join(base, ["wave", "part"]).select("id", "host", "wave", F.ceil((F.col("base") + F.col("nth")) / AT_ONCE).cast("long").alias("slot"))
 
 
 def merge_outcome(records: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ SEPARATOR, COMPOSITE_CHARS, HEADINGS, EXCERPT_WORDS = " / ", 2000, 5, 300
 def flatten(nodes: DataFrame, excluded: list[str] | None = None, max_depth: int = 64) -> DataFrame:
     """(id, path, depth, is_leaf) of every node below the roots of nodes (id, parent_id, title, url).
 
-    Folders named in excluded go with all below them. One join a level; the levels end when one is empty.
+    Folders named in excluded go with all below them. One join a level, which is held for the next; the levels end when
+    one is empty, and a tree deeper than max_depth raises.
     """
     kept = nodes.where(~F.col("id").isin(excluded)) if excluded else nodes
     level = kept.where("parent_id is null").select("id", F.coalesce("title", F.lit("")).alias("path"), F.lit(0).alias("depth"), F.col("url").isNotNull().alias("is_leaf"))
@@ -21,11 +23,11 @@ def flatten(nodes: DataFrame, excluded: list[str] | None = None, max_depth: int
     for depth in range(1, max_depth + 1):
         below = kept.alias("c").join(level.where("not is_leaf").alias("p"), F.col("c.parent_id") == F.col("p.id"))
         own = F.when(F.col("c.url").isNotNull() | (F.coalesce("c.title", F.lit("")) == ""), F.col("p.path")).otherwise(F.concat_ws(SEPARATOR, F.nullif("p.path", F.lit("")), "c.title"))
-        level = below.select("c.id", own.alias("path"), F.lit(depth).alias("depth"), F.col("c.url").isNotNull().alias("is_leaf"))
+        level = below.select("c.id", own.alias("path"), F.lit(depth).alias("depth"), F.col("c.url").isNotNull().alias("is_leaf")).persist(StorageLevel.MEMORY_AND_DISK)
         if level.isEmpty():
-            break
+            return found
         found = found.unionByName(level)
-    return found
+    raise ValueError(f"the tree has more than {max_depth} levels")
 
 
 def folder_counts(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
@@ -34,11 +36,11 @@ def folder_counts(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     at = nodes.where("url is not null and parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n"))
     total = at
     for _ in range(max_depth):
-        at = at.join(up, "id").where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.sum("n").alias("n"))
+        at = at.join(up, "id").where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
         if at.isEmpty():
-            break
+            return total.groupBy("id").agg(F.sum("n").alias("n"))
         total = total.unionByName(at)
-    return total.groupBy("id").agg(F.sum("n").alias("n"))
+    raise ValueError(f"the tree has more than {max_depth} levels")
 
 
 def composite_text(title, page_url, folder, og_title=None, description=None, site=None, headings=None, excerpt=None):

@@ -110,23 +110,26 @@ def lexical(records: DataFrame, queries: DataFrame, *keep: str) -> DataFrame:
 def cosines(vectors: DataFrame, queries: DataFrame, above: float | None = None) -> DataFrame:
     """(query_id, id, cos): every vector scored for every query of the batch; rows at or below `above` are left out.
 
-    The batch of queries is broadcast: it is the caller's, some hundred vectors at most, and it is checked.
+    The batch of queries is broadcast: it is the caller's, some hundred vectors at most. A vector of another length
+    than the query raises with its id. Ids are strings; ties are ordered as strings everywhere.
     """
     asked = queries.select("query_id", normalize(F.col("vector")).alias("q"))
-    scored = vectors.join(F.broadcast(asked), F.size("q") == F.size("vector")).select("query_id", "id", F.round(dot(F.col("vector"), F.col("q")), 6).alias("cos"))
+    other = F.raise_error(F.concat(F.lit("vector "), F.col("id"), F.lit(" has another length than the query"))).cast("boolean")
+    met = vectors.join(F.broadcast(asked)).where(F.when(F.size("q") == F.size("vector"), True).otherwise(other))
+    scored = met.select("query_id", "id", F.round(dot(F.col("vector"), F.col("q")), 6).alias("cos"))
     return scored if above is None else scored.where(F.col("cos") > above)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest vectors of each query: (query_id, id, cos, rank); ties to the smaller id. k <= 0 gives none."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("cos"), F.col("id").cast("long"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("cos"), "id")
     return cosines(vectors, queries).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, 0))
 
 
 def semantic(vectors: DataFrame, queries: DataFrame, w: Weights) -> DataFrame:
     """(query_id, id, cos, rank, sem): rows above the floor; those below have none and rank after all of these."""
     within = Window.partitionBy("query_id")
-    order = within.orderBy(F.desc("cos"), F.col("id").cast("long"))
+    order = within.orderBy(F.desc("cos"), "id")
     ranked = cosines(vectors, queries, w.floor).withColumns({"rank": F.row_number().over(order), "top": F.max("cos").over(within)})
     quality = (w.sharpness + 1) / (w.sharpness + F.col("rank"))
     span = F.col("top") - w.floor
@@ -150,7 +153,7 @@ def hybrid(records: DataFrame, vectors: DataFrame | None, queries: DataFrame, w:
 
 
 def ranked(hits: DataFrame, limit: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.lower("title"), "title", F.col("id").cast("long"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.lower("title"), "title", "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
@@ -212,7 +215,7 @@ def browse(records: DataFrame, clicks: DataFrame, sort: str = "recent", folder:
     found = rows.join(last_opened(clicks), "id", "left").select("id", "title", "folder_path", "date_added", active.alias("activity"))
     name = [F.lower("title"), F.col("title")]
     order = [F.desc("activity"), *name] if sort == "recent" else [*name, F.desc("date_added")]
-    return found.orderBy(*order, F.col("id").cast("long")).select("id", "title", "folder_path", "activity")
+    return found.orderBy(*order, "id").select("id", "title", "folder_path", "activity")
 
 
 def folder_paths(records: DataFrame) -> DataFrame:

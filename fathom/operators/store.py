@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """table with the rows of changes in place of those of the same key; whole rows, changes have one row a key."""
+    """table with the rows of changes in place of those of the same key; whole rows. Of changes that repeat a key one stays."""
+    changes = changes.dropDuplicates([key])
     return table.join(changes.select(key), key, "left_anti").select(*table.columns).unionByName(changes)
 
 
@@ -44,6 +45,18 @@ def load_vectors(vectors: DataFrame, model_version: str) -> DataFrame:
     return rows.join(F.broadcast(first)).where(F.when(F.size("vector") == F.col("dim"), True).otherwise(F.raise_error(bad).cast("boolean"))).drop("dim")  # one row
 
 
+def upsert_vectors(table: DataFrame, changes: DataFrame, model_version: str, dim: int) -> DataFrame:
+    """table with the vectors of changes in place of those of the same id; one of another model or length raises with its id."""
+    wrong = F.raise_error(F.concat(F.lit("vector "), F.col("id"), F.lit(" is of another model or length"))).cast("boolean")
+    fits = (F.col("model_version") == model_version) & (F.size("vector") == dim)
+    return upsert(table, changes.where(F.when(fits, True).otherwise(wrong)))
+
+
+def current_vectors(records: DataFrame, vectors: DataFrame, model_version: str) -> DataFrame:
+    """records with their vector of one model version; those without one are left out."""
+    return records.join(vectors.where(F.col("model_version") == model_version).select("id", "vector"), "id")
+
+
 def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

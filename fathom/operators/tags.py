@@ -67,19 +67,45 @@ def needs_rebuild(stored: dict | None, stamp: str, embedded: int, enriched: int)
     return any(abs(now - before) >= max(25, math.ceil(0.1 * before)) for now, before in ((embedded, stored["embedded"]), (enriched, stored["enriched"])))
 
 
+def enriched(status):
+    return status.isin("full", "meta_only")
+
+
+def drift(records: DataFrame, vectors: DataFrame, version: str, stored: dict | None) -> DataFrame:
+    """One row (embedded, enriched, rebuild): records with a vector of the version, those of them enriched, and whether topics are due."""
+    own = records.join(vectors.where(F.col("model_version") == version).select("id"), "id", "left_semi")
+    now = own.agg(F.count("*").alias("embedded"), F.count_if(enriched(F.col("status"))).alias("enriched"))
+    if stored is None or stored["stamp"] != topics_stamp(version):
+        return now.withColumn("rebuild", F.lit(True))
+    far = [F.abs(F.col(n) - stored[n]) >= max(25, math.ceil(0.1 * stored[n])) for n in ("embedded", "enriched")]
+    return now.withColumn("rebuild", far[0] | far[1])
+
+
+def topics_stamp(model_version: str) -> str:
+    return f"v3#{model_version}"
+
+
+def label_worthy(token):
+    """Three characters or more, no stop word, not all digits."""
+    return (F.length(token) >= 3) & ~token.isin(*STOPWORDS) & ~token.rlike("^[0-9]+$")
+
+
 def topic_tokens(document):
-    """Distinct tokens of three characters or more, no stop words, not all digits."""
-    stop = F.array(*[F.lit(x) for x in STOPWORDS])
-    return F.filter(text.tokenize(document), lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t) & ~t.rlike("^[0-9]+$"))
+    """Distinct label-worthy tokens."""
+    return F.filter(text.tokenize(document), label_worthy)
 
 
 def topic_terms(docs: DataFrame) -> DataFrame:
-    """(cluster, term, df_c, score) of docs (cluster, tokens): class-based TF-IDF of terms that enough documents share."""
+    """(cluster, term, df_c, score) of docs (cluster, tokens): class-based TF-IDF of terms that enough documents share.
+
+    Tokens are distinct ones of a document; what is not label-worthy is left out here, as a column and in the JVM's
+    compiled code. One pass counts (cluster, term); a term's counts, one a cluster, give its count in the corpus.
+    """
     sizes = docs.groupBy("cluster").agg(F.count("*").alias("n"))
     average = sizes.agg(F.avg("n").alias("avg_n"))
-    in_cluster = docs.select("cluster", F.explode("tokens").alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("df_c"))
-    corpus = in_cluster.groupBy("term").agg(F.sum("df_c").alias("df"))
-    joined = in_cluster.join(corpus, "term").join(F.broadcast(sizes), "cluster").join(F.broadcast(average))  # one row a cluster
+    in_cluster = docs.select("cluster", F.explode("tokens").alias("term")).where(label_worthy(F.col("term"))).groupBy("cluster", "term").agg(F.count("*").alias("df_c"))
+    by_term = in_cluster.groupBy("term").agg(F.sum("df_c").alias("df"), F.collect_list(F.struct("cluster", "df_c")).alias("c"))
+    joined = by_term.select("term", "df", F.inline("c")).join(sizes, "cluster").join(average)  # one row
     score = F.round(F.col("df_c") / F.greatest("n", F.lit(1)) * F.log1p(F.col("avg_n") / F.col("df")), 6)
     return joined.where("df_c >= greatest(2, ceil(0.15 * n))").select("cluster", "term", "df_c", score.alias("score"))
 
@@ -87,10 +113,10 @@ def topic_terms(docs: DataFrame) -> DataFrame:
 def label_clusters(terms: DataFrame, clusters: DataFrame) -> DataFrame:
     """(cluster, label): two terms by score, none a prefix-of-four of a chosen one, each pair once over all clusters.
 
-    Sequential by definition, over at most 30 clusters and their best terms.
+    Sequential by definition, over at most 30 clusters and the terms that 15 % of a cluster's documents share.
     """
     order = Window.partitionBy("cluster").orderBy(F.desc("score"), "term")
-    best = terms.withColumn("n", F.row_number().over(order)).where("n <= 200").groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("t"))
+    best = terms.withColumn("n", F.row_number().over(order)).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("t"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -102,10 +128,10 @@ def label_clusters(terms: DataFrame, clusters: DataFrame) -> DataFrame:
                     continue
                 picked.append(term)
                 if len(picked) == 2:
-                    if " & ".join(picked) not in used:
+                    if " ".join(picked) not in used:
                         break
                     picked.pop()
-            label = " & ".join(picked) or None
+            label = " ".join(picked) or None
             if label in used:
                 label = None
             used.add(label)

@@ -103,7 +103,7 @@ qv AS (SELECT a.query_id, {norm("e.embedding")} AS v FROM asked a JOIN embedding
 cosines AS (SELECT query_id, vec_id, CAST(vec_id AS VARCHAR) AS id, round({dot("embedding", "v")}, 6) AS cos FROM embeddings CROSS JOIN qv)"""
 SEMANTIC = f"""
 {COSINES},
-above AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) AS rank, max(cos) OVER (PARTITION BY query_id) AS top FROM cosines WHERE cos > 0.1),
+above AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS rank, max(cos) OVER (PARTITION BY query_id) AS top FROM cosines WHERE cos > 0.1),
 sem AS (SELECT query_id, id, cos, rank, 0.6::DOUBLE * (6.0::DOUBLE / (5.0::DOUBLE + rank)) + 0.4::DOUBLE * CASE WHEN top - 0.1::DOUBLE <= 0 THEN 0 ELSE least(1, greatest(0, (cos - 0.1::DOUBLE) / (top - 0.1::DOUBLE))) END AS sem FROM above)"""
 FUSED = """
 fused AS (
@@ -116,7 +116,7 @@ scored AS (
 ),
 hits AS (
     SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score, reason FROM (
-        SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(title), title, page_id) AS rank FROM scored s JOIN records r ON s.id = r.id WHERE score >= 0.05
+        SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(title), title, s.id) AS rank FROM scored s JOIN records r ON s.id = r.id WHERE score >= 0.05
     ) WHERE rank <= 150
 )"""
 HYBRID = f"WITH {PAGES}, {ASKED}, {LEXICAL}, {SEMANTIC}, {FUSED}"
@@ -194,7 +194,7 @@ def lexical_search(spark: SparkSession, d: str) -> DataFrame:
     return search.lexical(A.records(spark, d), A.queries(spark, d)).select("query_id", "id", F.round("lex", 6).alias("lex"), "lex_reason")
 
 
-@query(f"WITH {ASKED}, {COSINES} SELECT * FROM (SELECT CAST(query_id AS BIGINT) AS query_id, id, cos, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) AS INTEGER) AS rank FROM cosines) WHERE rank <= 10")
+@query(f"WITH {ASKED}, {COSINES} SELECT * FROM (SELECT CAST(query_id AS BIGINT) AS query_id, id, cos, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS INTEGER) AS rank FROM cosines) WHERE rank <= 10")
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.nearest(A.vectors(spark, d), A.query_vectors(spark, d), 10)
 
@@ -216,7 +216,7 @@ def click_signals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"{HYBRID}, {CLICKS}, {SIGNALS}, boosted AS (SELECT h.query_id, h.id, h.reason, round(h.score * (1 + 0.25::DOUBLE * coalesce(signal, 0)), 6) AS score FROM hits h LEFT JOIN signals s ON h.query_id = s.query_id AND h.id = s.id) "
-    "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(title), title, page_id) AS INTEGER) AS rank, b.id, score, reason FROM boosted b JOIN records r ON b.id = r.id"
+    "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(title), title, b.id) AS INTEGER) AS rank, b.id, score, reason FROM boosted b JOIN records r ON b.id = r.id"
 )
 def boosted_search(spark: SparkSession, d: str) -> DataFrame:
     hits = search.hybrid(A.records(spark, d), A.vectors(spark, d), A.query_vectors(spark, d), WEIGHTS)
@@ -281,7 +281,17 @@ def eval_hit_mrr(spark: SparkSession, d: str) -> DataFrame:
     return search.evaluate(hits, _expected(spark), A.records(spark, d), A.queries(spark, d))
 
 
-@query()
+@query(
+    f"WITH {PAGES}, {ASKED}, {LEXICAL}, {SEMANTIC}, grid AS (SELECT * FROM (VALUES (0.45::DOUBLE), (0.55::DOUBLE), (0.65::DOUBLE)) a(l), (VALUES (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE), (1::DOUBLE)) b(b), "
+    "(VALUES (2::DOUBLE), (5::DOUBLE), (10::DOUBLE), (15::DOUBLE)) s(s)), "
+    "pool AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.id, y.id) AS id, lex, cos, y.rank AS place, top FROM lex x FULL JOIN above y ON x.query_id = y.query_id AND x.id = y.id), "
+    "each AS (SELECT l, b, s, query_id, r.id, title, url, round(l * coalesce(lex, 0) + (1 - l) * CASE WHEN cos IS NULL THEN 0 ELSE b * (s + 1) / (s + place) "
+    "+ (1 - b) * CASE WHEN top - 0.1::DOUBLE <= 0 THEN 0 ELSE least(1, greatest(0, (cos - 0.1::DOUBLE) / (top - 0.1::DOUBLE))) END END, 6) AS score FROM pool p JOIN records r ON p.id = r.id CROSS JOIN grid), "
+    "placed AS (SELECT *, row_number() OVER (PARTITION BY l, b, s, query_id ORDER BY score DESC, lower(title), title, id) AS n FROM each WHERE score >= 0.05), "
+    "firsts AS (SELECT l, b, s, query_id, min(n) AS first FROM placed WHERE n <= 150 AND (contains(lower(url), '/en/') OR contains(lower(url), 'news')) GROUP BY ALL) "
+    "SELECT g.l AS lexical, g.b AS blend, g.s AS sharpness, count(*) FILTER (first <= 5) AS hits, round(avg(coalesce(1::DOUBLE / first, 0)), 6) AS mrr FROM grid g CROSS JOIN asked a "
+    "LEFT JOIN firsts f ON f.l = g.l AND f.b = g.b AND f.s = g.s AND f.query_id = a.query_id GROUP BY ALL ORDER BY hits DESC, mrr DESC, lexical, blend, sharpness LIMIT 8"
+)
 def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
     """48 weight combinations as one batch: each (query, combination) is a query of its own in one plan."""
     from fathom.operators.sweep import sweep
@@ -413,7 +423,7 @@ df AS (SELECT term, sum(df_c) AS df FROM dfc GROUP BY term)"""
 
 
 def _source_docs(spark: SparkSession, d: str) -> DataFrame:
-    return A.table(spark, d, "documents").select(F.col("source").alias("cluster"), tags.topic_tokens(F.col("text")).alias("tokens"))
+    return A.table(spark, d, "documents").select(F.col("source").alias("cluster"), text.tokenize(F.col("text")).alias("tokens"))
 
 
 @query(
@@ -426,7 +436,7 @@ def topic_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def topic_labels(spark: SparkSession, d: str) -> DataFrame:
-    docs = A.table(spark, d, "documents").select((F.regexp_extract("source", "[0-9]+", 0).cast("long")).alias("cluster"), tags.topic_tokens(F.col("text")).alias("tokens"))
+    docs = A.table(spark, d, "documents").select((F.regexp_extract("source", "[0-9]+", 0).cast("long")).alias("cluster"), text.tokenize(F.col("text")).alias("tokens"))
     return tags.label_clusters(tags.topic_terms(docs), docs)
 
 

@@ -155,10 +155,29 @@ def query_normal_forms(spark: SparkSession, d: str) -> DataFrame:
     return t.where("size(t) > 0").select("conv_id", "turn", F.array_join(F.array_sort("t"), " ").alias("norm"))
 
 
-@query("SELECT count(*) AS embedded, count(*) FILTER (vec_id % 11 <> 0) AS enriched, count(*) - 900 >= greatest(25, 90) OR 900 - count(*) >= greatest(25, 90) AS rebuild FROM embeddings")
+_OWN = "own AS (SELECT r.* FROM records r WHERE page_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 11 <> 0))"
+
+
+@query(f"WITH {PAGES}, {_OWN}, c AS (SELECT count(*) AS embedded, count(*) FILTER (status IN ('full', 'meta_only')) AS enriched FROM own) SELECT *, abs(embedded - 150) >= 25 OR abs(enriched - 120) >= 25 AS rebuild FROM c")
 def topic_drift(spark: SparkSession, d: str) -> DataFrame:
-    counts = A.vectors(spark, d).agg(F.count("*").alias("embedded"), F.count_if(F.col("model_version") == A.CURRENT).alias("enriched"))
-    return counts.withColumn("rebuild", F.abs(F.col("embedded") - 900) >= max(25, 90))
+    stored = {"stamp": tags.topics_stamp(A.CURRENT), "embedded": 150, "enriched": 120}
+    return tags.drift(A.records(spark, d), A.vectors(spark, d), A.CURRENT, stored)
+
+
+@query(f"WITH {PAGES}, {_OWN} SELECT id, title, CAST(len(embedding) AS INTEGER) AS dim FROM own JOIN embeddings ON vec_id = page_id")
+def current_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return store.current_vectors(A.records(spark, d), A.vectors(spark, d), A.CURRENT).select("id", "title", F.size("vector").alias("dim"))
+
+
+@query(
+    "SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN vec_id % 3 = 0 THEN 'fixture@1' WHEN vec_id % 11 = 0 THEN 'fixture@0' ELSE 'fixture@1' END AS model_version, round(CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 1 END * embedding[1]::DOUBLE, 6) AS first FROM embeddings"
+)
+def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the vectors come again, under the current model and negated."""
+    now = A.vectors(spark, d).select("id", "vec_id", "vector", "model_version")
+    again = now.where(F.col("vec_id") % 3 == 0).withColumns({"vector": F.transform("vector", lambda x: -x), "model_version": F.lit(A.CURRENT)})
+    dim = again.select(F.size("vector")).first()[0]
+    return store.upsert_vectors(now, again, A.CURRENT, dim).select("id", "model_version", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"))
 
 
 @query(f"WITH {PAGES}, {CLICKS}, o AS (SELECT record_id, max(ts) AS opened FROM clicks GROUP BY 1) SELECT folder_path, count(*) AS size, max(greatest(date_added, coalesce(opened, 0))) AS active FROM records r LEFT JOIN o ON o.record_id = r.id GROUP BY folder_path")

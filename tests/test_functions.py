@@ -1,6 +1,7 @@
 """Expected values of the engine's functions and rules."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fathom.functions import html, text, url
@@ -151,3 +152,40 @@ def test_cdc_stream(spark, tmp_path):
     feed = spark.readStream.schema("id string, title string, seq long, op string").parquet(str(tmp_path / "changes"))
     changes.run_cdc(spark, feed, str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / "v=1")).collect()} == {("1", "newer"), ("3", "c")}
+
+
+def test_segments(spark):
+    from fathom.functions import text
+
+    rows = spark.createDataFrame([("The quick fox, foxes", ["fo", "the"]), ("plain", []), ("", ["a"])], "t string, q array<string>")
+    got = [[(x.text, x.hit) for x in r.s] for r in rows.select(text.segments(F.col("t"), F.col("q")).alias("s")).collect()]
+    assert got == [[("The", True), (" quick ", False), ("fox", True), (", ", False), ("foxes", True)], [("plain", False)], []]
+
+
+def test_meta_in_single_quotes(spark):
+    from fathom.functions import html
+
+    page = spark.createDataFrame([("<meta name='description' content='hello'>",), ('<meta property="description" content="hi">',)], "h string")
+    assert [r[0] for r in page.select(html.meta(F.col("h"), "description")).collect()] == ["hello", "hi"]
+
+
+def test_ids_are_strings_and_lengths_are_checked(spark):
+    from fathom.operators import search, store
+
+    vectors = spark.createDataFrame([("abc", [1.0, 0.0], "m"), ("b", [1.0, 0.0], "m")], "id string, vector array<double>, model_version string")
+    asked = spark.createDataFrame([(0, "x", [1.0, 0.0])], "query_id long, text string, vector array<double>")
+    assert [r.id for r in search.nearest(vectors, asked, 2).orderBy("rank").collect()] == ["abc", "b"]
+    bad = spark.createDataFrame([("odd", [1.0], "m")], vectors.schema)
+    for run in (lambda: search.nearest(vectors.union(bad), asked, 2).collect(), lambda: store.upsert_vectors(vectors, bad, "m", 2).collect()):
+        with pytest.raises(Exception, match="odd"):
+            run()
+
+
+def test_sweep_counts_queries_without_a_hit(spark):
+    from fathom.operators import sweep
+
+    records = spark.createDataFrame([("a", "alpha beta", "https://x.org/one", "https://x.org/one", "", [], [])], "id string, title string, url string, canonical_url string, folder_path string, tags array<string>, headings array<string>")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0])], "id string, vector array<double>")
+    queries = spark.createDataFrame([(0, "alpha", [1.0, 0.0]), (1, "gamma", [0.0, 1.0])], "query_id long, text string, vector array<double>")
+    expected = spark.createDataFrame([(0, ["x.org"], 5), (1, ["x.org"], 5)], "query_id long, expect array<string>, k int")
+    assert {(r.hits, r.mrr) for r in sweep.sweep(records, vectors, queries, expected).collect()} == {(1, 0.5)}
