@@ -222,6 +222,24 @@ def test_token_files(spark, docs, corpus, tmp_path):
     assert token_files.checksums(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_file_footers(spark, docs, tmp_path):
+    """Ids are dictionary-encoded, ids of documents and starts delta-encoded, and pages are indexed."""
+    import pyarrow.parquet as pq
+
+    token_files.write_tokens(docs, str(tmp_path), bpe.tokenizer_path("byte_bpe_50k.json"))
+    seen = 0
+    for file in (tmp_path / "tokens").glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema.split(".")[0]: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert "RLE_DICTIONARY" in columns["ids"].encodings
+            assert all("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("doc_id", "start_in_part"))
+            assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+            assert meta.row_group(g).total_byte_size <= 32 << 20
+            seen += 1
+    assert seen
+
+
 def test_pieces():
     from tokenizers import Tokenizer
 
@@ -293,6 +311,23 @@ def test_near_odd_inputs(spark, docs, corpus):
     assert len(ids) == len(set(ids)) and {60 + i for i in range(40)} & set(ids) and not {100, 101} & set(ids)
 
 
+def test_signature_of_a_very_long_text():
+    """Millions of shingles are signed slice by slice, with the minima of all of them."""
+    rng = np.random.default_rng(3)
+    elements = np.unique(rng.integers(0, 2**63, 2_000_000, dtype=np.int64).view(np.uint64))
+    table = near_dedup.superminhash(elements, np.zeros(len(elements), np.int64), 1, 200)
+    half = len(elements) // 2
+    parts = [near_dedup.superminhash(x, np.zeros(len(x), np.int64), 1, 200) for x in (elements[:half], elements[half:])]
+    assert (table == np.minimum(*parts)).all()
+
+
+def test_words_of_a_long_text_are_hashed_piece_by_piece():
+    from fathom.llm.common import WordHashes, hash_words
+
+    text = " \n".join(f"w{i % 977}" for i in range(5000)).encode()
+    assert (hash_words(text, WordHashes(), 100) == WordHashes()(text.split())).all()
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 3000, dtype=np.int64).view(np.uint64)
