@@ -97,24 +97,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
+class WordHashes(dict):
     """64-bit hashes of words, kept between batches up to a bounded number of words."""
 
     def __init__(self, most: int = 400_000):
-        self.most, self.known = most, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            new = set(words).difference(known)
-            known.update(zip(new, map(xxhash.xxh64_intdigest, new)))
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        super().__init__()
+        self.most, self.digest = most, xxhash.xxh64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = self.digest(word)
+        return found
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 @lru_cache(maxsize=1)

@@ -55,34 +55,40 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - done)], v[width - done :]) if width > done else v
 
 
-def _segments(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window and number of windows of each segment of one document."""
-    n = len(words) - window + 1
-    if n < 1:
+def _starts(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every run of `width` words that lies in one of the parts of a list: its part, its place in it, and its place in the list."""
+    each = np.maximum(sizes - width + 1, 0)
+    part = np.repeat(np.arange(len(sizes)), each)
+    place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    return part, place, np.repeat(np.cumsum(sizes) - sizes, each) + place
+
+
+def _segments(words: np.ndarray, sizes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Document, anchor hash, first window and number of windows of each segment; `sizes` words make a document."""
+    doc, place, start = _starts(sizes, window)
+    if not len(start):
         empty = np.empty(0, np.int64)
-        return empty, empty, empty
+        return empty, empty, empty, empty
     grams = rolling_hashes(words, anchor)
     at = np.arange(len(grams), dtype=np.uint64) & _LOW
-    low = _sliding_min((grams & ~_LOW) | at, window - anchor + 1)
-    where = np.arange(n) + (((low & _LOW).astype(np.int64) - np.arange(n)) & int(_LOW))
-    first = np.flatnonzero(np.diff(where, prepend=-1))
-    return grams[where[first]].view(np.int64), first, np.diff(first, append=n)
+    low = _sliding_min((grams & ~_LOW) | at, window - anchor + 1)[start]
+    where = start + (((low & _LOW).astype(np.int64) - start) & int(_LOW))
+    first = np.flatnonzero(np.diff(where, prepend=-1))  # windows of two documents never share a place
+    return doc[first], grams[where[first]].view(np.int64), place[first], np.diff(first, append=len(start))
 
 
 def _scan(window: int, anchor: int):
     def run(batches):
         hashes = word_hashes()
         for batch in in_batches(batches, "text"):
-            counts, digests, keys, firsts, lengths, ends = [], [], [], [], [], [0]
-            for text in texts(batch.column("text")):
-                words = text.split()
-                counts.append(len(words))
-                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                k, i, n = _segments(hashes(words) if len(words) >= window else np.empty(0, np.uint64), window, anchor)
-                keys.append(k), firsts.append(i), lengths.append(n), ends.append(ends[-1] + len(k))
-            fields = [pa.array(np.concatenate(keys)), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(lengths).astype(np.int32))]
-            segments = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["k", "i", "n"]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(counts, pa.int64()), pa.array(digests), segments], ["doc_id", "h", "n_words", "sha", "segments"])
+            parts = [text.split() for text in texts(batch.column("text"))]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            digests = [hashlib.sha256(b" ".join(words)).hexdigest() for words in parts]
+            doc, k, i, n = _segments(hashes([w for words in parts for w in words]), sizes, window, anchor)
+            fields = [pa.array(k), pa.array(i.astype(np.int32)), pa.array(n.astype(np.int32))]
+            ends = np.searchsorted(doc, np.arange(len(parts) + 1)).astype(np.int32)
+            segments = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, ["k", "i", "n"]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(sizes), pa.array(digests, pa.string()), segments], ["doc_id", "h", "n_words", "sha", "segments"])
 
     return run
 
@@ -92,16 +98,20 @@ def _segment_texts(window: int):
 
     def run(batches):
         for batch in in_batches(batches, "text", 2_000_000):
-            out: list[tuple] = []
-            for d, h, text, segments in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "text", "found"))):
-                words = (text or "").encode().split()
-                for s in segments:
-                    out.append((s["k"], d, h, s["i"], s["n"], b" ".join(words[s["i"] : s["i"] + s["n"] + window - 1])))
-            for at in range(0, len(out), 20_000):
-                k, d, h, i, n, seg = zip(*out[at : at + 20_000])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k, pa.int64()), pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(i, pa.int32()), pa.array(n, pa.int32()), pa.array(seg, pa.binary())], ["k", "d", "h", "i", "n", "seg"]
-                )
+            found = batch.column("found")
+            first, past = found.offsets.to_numpy()[:-1].tolist(), found.offsets.to_numpy()[1:].tolist()
+            flat = found.values
+            begin, count = (flat.field(c).to_numpy() for c in ("i", "n"))
+            starts, ends, seg, held = begin.tolist(), (begin + count + (window - 1)).tolist(), [], []
+            for text, a, b in zip(texts(batch.column("text")), first, past):
+                words = text.split()
+                seg += [b" ".join(words[i:j]) for i, j in zip(starts[a:b], ends[a:b])]
+                held.append(b - a)
+            own, at = pa.array(np.repeat(np.arange(len(held)), held)), slice(first[0], past[-1])
+            columns = [pa.array(flat.field("k").to_numpy()[at]), batch.column("d").take(own), batch.column("h").take(own), pa.array(begin[at]), pa.array(count[at]), pa.array(seg, pa.binary())]
+            whole = pa.RecordBatch.from_arrays(columns, ["k", "d", "h", "i", "n", "seg"])
+            for row in range(0, whole.num_rows, 20_000):
+                yield whole.slice(row, 20_000)
 
     return run
 
@@ -117,11 +127,8 @@ def _windows(window: int):
                 parts = [x.split() for x in part.column("seg").to_pylist()]
                 sizes = np.fromiter(map(len, parts), np.int64, len(parts))
                 w = rolling_hashes(hashes([x for p in parts for x in p]), window).view(np.int64)
-                # windows that lie in one segment: all but the last window - 1 starts of each
-                each = sizes - window + 1
-                off = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                start = np.repeat(np.cumsum(sizes) - sizes, each) + off
-                row = pa.array(np.repeat(np.arange(len(parts)), each))
+                row, off, start = _starts(sizes, window)
+                row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column("k").take(row), pa.array(w[start]), part.column("s").take(row), pa.array(off.astype(np.int32)), part.column("c").take(row)], ["k", "w", "s", "off", "c"])
 
     return run
@@ -166,16 +173,20 @@ def _locate(window: int):
         gram, hashes = _gram(window), word_hashes()
         symbols = window // gram
 
-        def phrases(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            parts = [t.split() for t in texts_]
-            each = [rolling_hashes(x, gram) for x in np.split(hashes([w for p in parts for w in p]), np.cumsum([len(p) for p in parts])[:-1])]
-            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        def phrases(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+            flat, counts = [], []
+            for at in range(0, len(column), 4000):
+                parts = [t.split() for t in column.slice(at, 4000).to_pylist()]
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+                flat.append(rolling_hashes(hashes([w for p in parts for w in p]), gram)[_starts(sizes, gram)[2]])
+                counts.append(sizes - gram + 1)
+            return np.concatenate(flat), np.concatenate(counts)
 
         kind = table.column("kind").to_numpy()
         passages, segments = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1))
         out: tuple[list, list, list] = ([], [], [])
         if passages.num_rows and segments.num_rows:
-            flat, sizes = phrases(passages.column("seg").to_pylist())
+            flat, sizes = phrases(passages.column("seg"))
             begin = np.cumsum(sizes) - sizes
             offs = passages.column("offs").to_pylist()
             first = np.repeat(begin, [len(x) for x in offs]) + np.array([o for x in offs for o in x], np.int64)
@@ -190,7 +201,7 @@ def _locate(window: int):
             automaton.make_automaton()
             for at in range(0, segments.num_rows, 4000):
                 part = segments.slice(at, 4000)
-                flat, sizes = phrases(part.column("seg").to_pylist())
+                flat, sizes = phrases(part.column("seg"))
                 place, to = _by_phase(sizes, gram)
                 where = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 stream, source = np.zeros((int(to.max()) + 2, digits), np.uint8), np.zeros(int(to.max()) + 2, np.int64)
