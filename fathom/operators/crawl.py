@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import url
+from fathom.functions.records import SIGNALS, optional
+from fathom.operators import library
 
 #: Attempts, first delay and its growth, requests at a time.
 ATTEMPTS, DELAY_MS, GROWTH, AT_ONCE, PER_HOST = 3, 30_000, 4, 6, 2
@@ -64,9 +66,21 @@ def waves(records: DataFrame, order: str = "date_added", ranges: int = 1000) ->
 
 
 def merge_outcome(records: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """records with the last outcome of each id: its status; fields it does not have stay."""
-    last = outcomes.groupBy("id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("new_status"))
-    return records.join(last, "id", "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
+    """records with all outcomes of their ids applied: the last status, and the last value of each signal that one had.
+
+    A fetched title is the signal og_title, never the record's own title. Composite text and hash are made anew; where
+    the hash differs from the stored one, the model version and the tag stamp go, so the record is embedded and tagged again.
+    """
+    when = F.struct("ts", "event_id")
+    fetched = {"og_title" if c == "title" else c: F.max_by(c, F.when(F.col(c).isNotNull(), when)) for c in ("title", *SIGNALS) if c in outcomes.columns}
+    last = outcomes.groupBy("id").agg(F.max_by("status", when).alias("new_status"), *[x.alias(f"new_{c}") for c, x in fetched.items()])
+    rows = records if "content_hash" in records.columns else library.with_composite(records)
+    both = rows.withColumnRenamed("content_hash", "old_hash").join(last, "id", "left").withColumn("status", F.coalesce("new_status", "status"))
+    both = both.withColumns({c: F.coalesce(F.col(f"new_{c}"), optional(records, c, SIGNALS[c])) for c in fetched})
+    made = library.with_composite(both)
+    same = F.col("new_status").isNull() | F.col("content_hash").eqNullSafe(F.col("old_hash"))
+    made = made.withColumns({c: F.when(same, F.col(c)) for c in ("model_version", "tag_model_version") if c in records.columns})
+    return made.drop("old_hash", "new_status", *[f"new_{c}" for c in fetched])
 
 
 def icon_due(icons: DataFrame, declared: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import html, text, url
+from fathom.functions.records import SIGNALS, optional
 
 SEPARATOR, COMPOSITE_CHARS, HEADINGS, EXCERPT_WORDS = " / ", 2000, 5, 300
 
@@ -73,7 +74,9 @@ def _numbered(section, i: int):
 
 
 def with_composite(records: DataFrame) -> DataFrame:
-    made = composite_text(F.col("title"), F.col("url"), F.col("folder_path"), headings=F.col("headings"))
+    og_title, description, site, headings, excerpt = (optional(records, c, kind) for c, kind in SIGNALS.items())
+    filled = F.coalesce(headings, F.array().cast("array<string>"))
+    made = composite_text(F.col("title"), F.col("url"), F.col("folder_path"), og_title, description, site, filled, excerpt)
     return records.withColumn("composite_text", made).withColumn("content_hash", text.content_hash(F.col("composite_text")))
 
 
@@ -90,18 +93,23 @@ def summary(actions: DataFrame) -> DataFrame:
 
 
 def rebuild(now: DataFrame, stored: DataFrame, reembed: bool = False) -> DataFrame:
-    """Records after a pass: enrichment of stored rows stays, new rows are pending, learned topics are dropped where a row changed.
+    """Records after a pass: signals, tags and status of stored rows stay, new rows have none and are pending, learned tags go.
 
-    A changed text keeps its model version, as vectors of renamed records stay, unless reembed asks for new ones.
+    A changed text keeps its model version, as vectors of renamed records stay, unless reembed asks for new ones. A tag
+    stamp stays while the title does.
     """
-    fresh = with_composite(now.select("id", "url", "canonical_url", "title", "folder_path", "date_added", "headings", "tags"))
-    old = with_composite(stored).select("id", F.col("title").alias("t0"), F.col("content_hash").alias("h0"), F.col("status").alias("s0"), *[c for c in ("model_version", "tag_model_version") if c in stored.columns])
-    both = fresh.join(old, "id", "left")
-    if "model_version" in stored.columns and reembed:
+    carried = [c for c in (*SIGNALS, "tags") if c in stored.columns]
+    stamps = [c for c in ("model_version", "tag_model_version") if c in stored.columns]
+    old = with_composite(stored).select("id", F.col("title").alias("t0"), F.col("content_hash").alias("h0"), F.col("status").alias("s0"), F.col("date_added").alias("d0"), *carried, *stamps)
+    both = now.select("id", "url", "canonical_url", "title", "folder_path", "date_added").join(old, "id", "left")
+    both = with_composite(both.withColumn("date_added", F.coalesce("date_added", "d0")))
+    if "tags" in carried:
+        both = both.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    if "model_version" in stamps and reembed:
         both = both.withColumn("model_version", F.when(F.col("content_hash") == F.col("h0"), F.col("model_version")))
-    if "tag_model_version" in stored.columns:
+    if "tag_model_version" in stamps:
         both = both.withColumn("tag_model_version", F.when(F.col("title") == F.col("t0"), F.col("tag_model_version")))
-    return both.withColumn("status", F.coalesce("s0", F.lit("pending"))).drop("t0", "h0", "s0")
+    return both.withColumn("status", F.coalesce("s0", F.lit("pending"))).drop("t0", "h0", "s0", "d0")
 
 
 def signals(pages: DataFrame) -> DataFrame:
@@ -111,7 +119,11 @@ def signals(pages: DataFrame) -> DataFrame:
 
 
 def health(records: DataFrame, vectors: DataFrame) -> DataFrame:
-    """One row: records, by status, with headings, embedded."""
+    """One row: records, by status, with headings, descriptions, excerpts, tags and learned tags, embedded."""
     own = records.join(vectors.select("id", F.lit(1).alias("v")).distinct(), "id", "left")
-    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("full", "pending", "dead")]
-    return own.agg(F.count("*").alias("records"), *counts, F.count_if(F.size("headings") > 0).alias("with_headings"), F.count("v").alias("embedded"))
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("full", "meta_only", "baseline", "pending", "dead")]
+    filled = {"with_description": "meta_description", "with_excerpt": "excerpt"}
+    counts += [F.count_if(F.coalesce(optional(records, c), F.lit("")) != "").alias(n) for n, c in filled.items()]
+    listed = {"with_headings": "headings", "tagged": "tags", "learned": "learned_tags"}
+    counts += [F.count_if(F.coalesce(F.size(optional(records, c, "array<string>")), F.lit(0)) > 0).alias(n) for n, c in listed.items()]
+    return own.agg(F.count("*").alias("records"), *counts, F.count("v").alias("embedded"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
+from fathom.functions.records import SIGNALS, all_tags, optional
 from fathom.functions.vectors import dot, normalize
 
 
@@ -59,8 +60,8 @@ def coverage(tokens: Column, wanted: Column) -> Column:
 
 def with_tokens(records: DataFrame) -> DataFrame:
     """records with the tokens of every field that search looks at."""
-    joined = F.array_join("tags", " ")
-    described = F.array_join("headings", " ")
+    joined = F.array_join(all_tags(records), " ")
+    described = F.concat_ws(" ", *[optional(records, c, SIGNALS[c]) for c in ("meta_description", "site_name", "headings")])
     return records.withColumns({
         "title_tokens": T.tokenize(F.col("title")),
         "tag_tokens": T.tokenize(joined),
@@ -232,9 +233,9 @@ def suggestions(hits: DataFrame, records: DataFrame, queries: DataFrame, most: i
 
 
 def hit_row(records: DataFrame) -> DataFrame:
-    """What a hit shows besides its score: description of at most 240 characters, tags, and whether the page is gone."""
-    described = F.left(T.trim(F.array_join("headings", " ")), F.lit(240))
-    return records.select("id", "title", "url", "folder_path", "date_added", F.nullif(described, F.lit("")).alias("description"), "tags", (F.col("status") == "dead").alias("dead"))
+    """What a hit shows besides its score: description or else excerpt, at most 240 characters, all tags, and whether the page is gone."""
+    described = F.left(F.coalesce(optional(records, "meta_description"), optional(records, "excerpt")), F.lit(240))
+    return records.select("id", "title", "url", "folder_path", "date_added", F.nullif(described, F.lit("")).alias("description"), all_tags(records).alias("tags"), (F.col("status") == "dead").alias("dead"))
 
 
 def evaluate(ranked_: DataFrame, expected: DataFrame, records: DataFrame, queries: DataFrame) -> DataFrame:

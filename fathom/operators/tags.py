@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text, url
+from fathom.functions.records import optional
 from fathom.functions.tables import DOMAIN_TAGS, STOPWORDS, TAXONOMY
 from fathom.functions.vectors import dot, normalize
 
@@ -95,6 +96,17 @@ def topic_tokens(document):
     return F.filter(text.tokenize(document), label_worthy)
 
 
+def topic_text(records: DataFrame):
+    """What a record's page says it is: title, site name and description; no folders, no excerpt."""
+    return F.concat_ws(" ", "title", optional(records, "site_name"), optional(records, "meta_description"))
+
+
+def tag_text(records: DataFrame):
+    """The text a record is classified from: title, description and site name, a line each; its composite text without these."""
+    parts = F.filter(F.array(*[text.trim(F.coalesce(x, F.lit(""))) for x in (F.col("title"), optional(records, "meta_description"), optional(records, "site_name"))]), lambda x: x != "")
+    return F.when(F.size(parts) > 0, F.array_join(parts, "\n")).otherwise(optional(records, "composite_text"))
+
+
 def topic_terms(docs: DataFrame) -> DataFrame:
     """(cluster, term, df_c, score) of docs (cluster, tokens): class-based TF-IDF of terms that enough documents share.
 

@@ -72,6 +72,11 @@ records AS (
         1700000000000 + page_id * 86400000 AS date_added,
         list_filter(list_transform(regexp_extract_all(html, '(?is)<h[12]\\b[^>]*>(.*?)</h[12]>', 1), lambda x: trim(regexp_replace({decoded("regexp_replace(x, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g'))), lambda x: x <> '') AS headings,
         ['tag ' || regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1)] AS tags,
+        CASE page_id % 4 WHEN 0 THEN upper(title) WHEN 1 THEN 'On ' || title END AS og_title,
+        CASE WHEN page_id % 3 <> 2 THEN 'Notes and links on the ' || regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) || ' pages' END AS meta_description,
+        CASE WHEN page_id % 5 < 2 THEN 'The ' || host END AS site_name,
+        CASE WHEN page_id % 2 = 0 THEN 'Going to the town with ' || title END AS excerpt,
+        CASE WHEN page_id % 6 = 0 THEN ['topic of the ' || regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1)] ELSE [] END AS learned_tags,
         CASE WHEN page_id % 13 = 0 THEN 'dead' WHEN page_id % 5 = 0 THEN 'pending' ELSE 'full' END AS status
     FROM canon
 )"""
@@ -85,8 +90,8 @@ def _cover(tokens: str) -> str:
 
 LEXICAL = f"""
 tokens AS (
-    SELECT *, {tok("title")} AS tt, {tok("array_to_string(tags, ' ')")} AS gt, {tok("CASE WHEN canonical_url <> '' THEN canonical_url ELSE url END")} AS ut,
-           {tok("folder_path")} AS ft, {tok("array_to_string(headings, ' ')")} AS dt FROM records
+    SELECT *, {tok("title")} AS tt, {tok("array_to_string(list_concat(tags, learned_tags), ' ')")} AS gt, {tok("CASE WHEN canonical_url <> '' THEN canonical_url ELSE url END")} AS ut,
+           {tok("folder_path")} AS ft, {tok("concat_ws(' ', meta_description, site_name, array_to_string(headings, ' '))")} AS dt FROM records
 ),
 parts AS (
     SELECT query_id, id, CASE WHEN len(q) >= 2 AND length(phrase) >= 2 AND contains(lower(title), phrase) THEN 1.0::DOUBLE ELSE 0::DOUBLE END AS p,
@@ -174,14 +179,21 @@ def signals_regex(spark: SparkSession, d: str) -> DataFrame:
     return library.signals(A.table(spark, d, "pages"))
 
 
-@query(
-    f"WITH {PAGES}, t AS (SELECT *, list_filter(regexp_split_to_array(lower(regexp_extract(url, '^[^:]+://([^/?#:]+)', 1) || path), '[/\\-_.]+'), lambda x: x <> '' AND NOT list_contains({list(URL_STOP_TOKENS)}, x) "
-    "AND NOT regexp_full_match(x, '[0-9]+') AND NOT (length(x) >= 8 AND regexp_full_match(x, '[0-9a-f]+')) AND NOT (length(x) >= 10 AND regexp_matches(x, '[0-9]'))) AS ut FROM (SELECT r.*, c.path FROM records r JOIN canon c USING (page_id))), "
-    "u AS (SELECT *, array_to_string(list_filter(list_transform(range(1, len(ut) + 1), lambda i: CASE WHEN list_position(ut, ut[i]) = i THEN ut[i] END), lambda x: x IS NOT NULL), ' ') AS us FROM t), "
-    "p AS (SELECT id, list_filter([{'s': 0, 'p': title}, {'s': 2, 'p': host}, {'s': 3, 'p': coalesce(headings[1], '')}, {'s': 5, 'p': us}, {'s': 6, 'p': folder_path}], lambda x: x.p <> '') AS p FROM u), "
-    "k AS (SELECT id, list_filter(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN list_position(list_transform(p, lambda y: lower(y.p)), lower(p[i].p)) = i THEN p[i].p END), lambda x: x IS NOT NULL) AS k FROM p) "
-    "SELECT id, left(array_to_string(k, chr(10)), 2000) AS composite_text FROM k"
-)
+def composite_sql(rows: str) -> str:
+    """CTEs up to `composed` (id, composite_text): the seven sections of each row, parts said before left out."""
+    parts = [(0, "title"), (0, "og_title"), (1, "meta_description"), (2, "site_name"), (2, "host"), (3, "headings[1]"), (4, "excerpt"), (5, "us"), (6, "folder_path")]
+    listed = ", ".join(f"{{'s': {i}, 'p': trim(coalesce({p}, ''))}}" for i, p in parts)
+    return (
+        f"t AS (SELECT *, list_filter(regexp_split_to_array(lower(regexp_extract(url, '^[^:]+://([^/?#:]+)', 1) || path), '[/\\-_.]+'), lambda x: x <> '' AND NOT list_contains({list(URL_STOP_TOKENS)}, x) "
+        f"AND NOT regexp_full_match(x, '[0-9]+') AND NOT (length(x) >= 8 AND regexp_full_match(x, '[0-9a-f]+')) AND NOT (length(x) >= 10 AND regexp_matches(x, '[0-9]'))) AS ut FROM (SELECT r.*, c.path FROM {rows} r JOIN canon c USING (page_id))), "
+        "u AS (SELECT *, array_to_string(list_filter(list_transform(range(1, len(ut) + 1), lambda i: CASE WHEN list_position(ut, ut[i]) = i THEN ut[i] END), lambda x: x IS NOT NULL), ' ') AS us FROM t), "
+        f"p AS (SELECT id, list_filter([{listed}], lambda x: x.p <> '') AS p FROM u), "
+        "k AS (SELECT id, list_filter(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN list_position(list_transform(p, lambda y: lower(y.p)), lower(p[i].p)) = i THEN p[i] END), lambda x: x IS NOT NULL) AS k FROM p), "
+        "composed AS (SELECT id, left(array_to_string(list_filter(list_transform(range(7), lambda s: array_to_string(list_transform(list_filter(k, lambda y: y.s = s), lambda y: y.p), ' ')), lambda x: x <> ''), chr(10)), 2000) AS composite_text FROM k)"
+    )
+
+
+@query(f"WITH {PAGES}, {composite_sql('records')} SELECT id, composite_text FROM composed")
 def composite_text(spark: SparkSession, d: str) -> DataFrame:
     return library.with_composite(A.records(spark, d)).select("id", "composite_text")
 
@@ -263,7 +275,7 @@ def suggestions(spark: SparkSession, d: str) -> DataFrame:
     return search.suggestions(hits, A.records(spark, d), A.queries(spark, d))
 
 
-@query(f"WITH {PAGES} SELECT id, title, url, folder_path, date_added, nullif(left(trim(array_to_string(headings, ' ')), 240), '') AS description, array_to_string(tags, ',') AS tags, status = 'dead' AS dead FROM records")
+@query(f"WITH {PAGES} SELECT id, title, url, folder_path, date_added, left(coalesce(meta_description, excerpt), 240) AS description, array_to_string(list_concat(tags, learned_tags), ',') AS tags, status = 'dead' AS dead FROM records")
 def hit_rows(spark: SparkSession, d: str) -> DataFrame:
     return search.hit_row(A.records(spark, d)).withColumn("tags", F.array_join("tags", ","))
 
@@ -363,8 +375,8 @@ def tree_flatten(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {PAGES} SELECT count(*) AS records, count(*) FILTER (status = 'full') AS \"full\", count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'dead') AS dead, "
-    "count(*) FILTER (len(headings) > 0) AS with_headings, count(*) FILTER (page_id IN (SELECT vec_id FROM embeddings)) AS embedded FROM records"
+    f"WITH {PAGES} SELECT count(*) AS records, count(*) FILTER (status = 'full') AS \"full\", count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'dead') AS dead, count(*) FILTER (status = 'meta_only') AS meta_only, count(*) FILTER (status = 'baseline') AS baseline, "
+    "count(meta_description) AS with_description, count(excerpt) AS with_excerpt, count(*) FILTER (len(tags) > 0) AS tagged, count(*) FILTER (len(learned_tags) > 0) AS learned, count(*) FILTER (len(headings) > 0) AS with_headings, count(*) FILTER (page_id IN (SELECT vec_id FROM embeddings)) AS embedded FROM records"
 )
 def corpus_health(spark: SparkSession, d: str) -> DataFrame:
     return library.health(A.records(spark, d), A.vectors(spark, d))

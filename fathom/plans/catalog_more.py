@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import html, text, url
-from fathom.functions.tables import TAXONOMY
+from fathom.functions.tables import STOPWORDS, TAXONOMY
 from fathom.operators import crawl, library, search, store, tags
-from fathom.plans.catalog import CLICKS, HYBRID, NOW_MS, PAGES, WEIGHTS, query, tok
+from fathom.plans.catalog import CLICKS, HYBRID, NOW_MS, PAGES, WEIGHTS, composite_sql, query, tok
 from fathom.sources import adapters as A
 
 
@@ -114,10 +114,19 @@ def tag_labels(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(F.broadcast(tags.taxonomy(spark).select(F.col("id").alias("tag"), "label")), "tag", "left").select("record_id", F.coalesce("label", "tag").alias("label"))  # a fixed table
 
 
-@query(f"WITH {PAGES} SELECT id, concat_ws(chr(10), nullif(title, ''), nullif(trim(array_to_string(headings, ' ')), '')) AS tag_text FROM records")
+@query(f"WITH {PAGES}, {composite_sql('records')} SELECT id, coalesce(nullif(concat_ws(chr(10), nullif(title, ''), meta_description, site_name), ''), composite_text) AS tag_text FROM records JOIN composed USING (id)")
 def tag_text(spark: SparkSession, d: str) -> DataFrame:
-    described = text.first_non_empty(F.array_join("headings", " "))
-    return A.records(spark, d).select("id", F.concat_ws("\n", text.first_non_empty(F.col("title")), described).alias("tag_text"))
+    records = library.with_composite(A.records(spark, d))
+    return records.select("id", tags.tag_text(records).alias("tag_text"))
+
+
+@query(
+    f"WITH {PAGES}, t AS (SELECT id, list_filter({tok("concat_ws(' ', title, site_name, meta_description)")}, lambda x: length(x) >= 3 AND NOT list_contains({list(dict.fromkeys(STOPWORDS))}, x) AND NOT regexp_full_match(x, '[0-9]+')) AS t FROM records) "
+    "SELECT id, array_to_string(list_sort(t), ' ') AS tokens FROM t"
+)
+def topic_doc_tokens(spark: SparkSession, d: str) -> DataFrame:
+    records = A.records(spark, d)
+    return records.select("id", F.array_join(F.array_sort(tags.topic_tokens(tags.topic_text(records))), " ").alias("tokens"))
 
 
 @query("SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:5], ' ')) AS head FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 5")
@@ -192,9 +201,32 @@ def page_excerpts(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "pages").select("page_id", html.excerpt("html").alias("excerpt"))
 
 
-@query()
+_REBUILT = (
+    "rebuilt AS (SELECT * REPLACE (CASE WHEN old THEN status ELSE 'pending' END AS status, CASE WHEN old THEN og_title END AS og_title, CASE WHEN old THEN meta_description END AS meta_description, CASE WHEN old THEN site_name END AS site_name, "
+    "CASE WHEN old THEN headings ELSE [] END AS headings, CASE WHEN old THEN excerpt END AS excerpt, CASE WHEN old THEN tags ELSE [] END AS tags) FROM (SELECT *, page_id % 10 <> 0 AS old FROM records))"
+)
+
+
+@query(f"WITH {PAGES}, {_REBUILT}, {composite_sql('rebuilt')} SELECT id, title, status, array_to_string(tags, ',') AS tags, composite_text FROM rebuilt JOIN composed USING (id)")
 def rebuilt_records(spark: SparkSession, d: str) -> DataFrame:
-    return library.rebuild(A.records(spark, d), A.existing_records(spark, d)).select("id", "status", "content_hash")
+    return library.rebuild(A.records(spark, d), A.existing_records(spark, d)).select("id", "title", "status", F.array_join("tags", ",").alias("tags"), "composite_text")
+
+
+_FETCHED = (
+    "o AS (SELECT *, CAST(user_id AS VARCHAR) AS id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 2 = 0 THEN 'Fetched ' || event_id % 5 END AS title, CASE WHEN event_id % 3 = 0 THEN 'Fetched notes ' || event_id % 7 END AS said FROM events), "
+    "last AS (SELECT id, last(CASE WHEN event_type IN ('error', 'signup') THEN 'dead' ELSE 'full' END ORDER BY ms, event_id) AS s, last(title ORDER BY ms, event_id) FILTER (title IS NOT NULL) AS t, last(said ORDER BY ms, event_id) FILTER (said IS NOT NULL) AS d FROM o GROUP BY id), "
+    "outcome AS (SELECT r.* REPLACE (coalesce(s, status) AS status, coalesce(t, og_title) AS og_title, coalesce(d, meta_description) AS meta_description) FROM records r LEFT JOIN last USING (id))"
+)
+
+
+@query(f"WITH {PAGES}, {_FETCHED}, {composite_sql('outcome')}, now AS (SELECT * FROM composed), before AS (WITH {composite_sql('records')} SELECT * FROM composed) SELECT id, status, now.composite_text, now.composite_text <> before.composite_text AS stale FROM outcome JOIN now USING (id) JOIN before USING (id)")
+def merged_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes with a title and a description now and then; records whose text they change lose their model version."""
+    n = F.col("event_id")
+    said = {"title": F.when(n % 2 == 0, F.concat(F.lit("Fetched "), n % 5)), "meta_description": F.when(n % 3 == 0, F.concat(F.lit("Fetched notes "), n % 7))}
+    records = library.with_composite(A.records(spark, d)).withColumn("model_version", F.lit(A.CURRENT))
+    made = crawl.merge_outcome(records, A.outcomes(spark, d).withColumns(said))
+    return made.select("id", "status", "composite_text", F.col("model_version").isNull().alias("stale"))
 
 
 @query(f"WITH {PAGES} SELECT id, title FROM records QUALIFY row_number() OVER (PARTITION BY host ORDER BY date_added DESC) = 1")

@@ -15,18 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record a page: id, url, canonical_url, title, folder_path, date_added, headings, tags and status."""
+    """One record a page: id, url, canonical_url, title, folder_path, date_added, signals, tags, learned_tags and status.
+
+    The pages hold no meta tags, so og_title, meta_description, site_name, excerpt and learned_tags stand in for them, by page_id.
+    """
     pages = table(spark, sf_dir, "pages")
-    canonical = url.canonical(F.col("url"))
+    canonical, n = url.canonical(F.col("url")), F.col("page_id")
+    title, section = F.coalesce(html.title(F.col("html")), F.lit("")), F.regexp_extract("url", "^https?://[^/]+/([^/?#]+)", 1)
     return pages.select(
         F.col("page_id").cast("string").alias("id"),
         "url",
         canonical.alias("canonical_url"),
-        F.coalesce(html.title(F.col("html")), F.lit("")).alias("title"),
-        F.concat(F.lit("Library / "), F.regexp_extract("url", "^https?://[^/]+/([^/?#]+)", 1), F.lit(" / "), url.domain(canonical)).alias("folder_path"),
+        title.alias("title"),
+        F.concat(F.lit("Library / "), section, F.lit(" / "), url.domain(canonical)).alias("folder_path"),
         (F.lit(START_MS) + F.col("page_id") * DAY_MS).alias("date_added"),
+        F.when(n % 4 == 0, F.upper(title)).when(n % 4 == 1, F.concat(F.lit("On "), title)).alias("og_title"),
+        F.when(n % 3 != 2, F.concat(F.lit("Notes and links on the "), section, F.lit(" pages"))).alias("meta_description"),
+        F.when(n % 5 < 2, F.concat(F.lit("The "), url.domain(canonical))).alias("site_name"),
         html.headings(F.col("html")).alias("headings"),
-        F.array(F.concat(F.lit("tag "), F.regexp_extract("url", "^https?://[^/]+/([^/?#]+)", 1))).alias("tags"),
+        F.when(n % 2 == 0, F.concat(F.lit("Going to the town with "), title)).alias("excerpt"),
+        F.array(F.concat(F.lit("tag "), section)).alias("tags"),
+        F.when(n % 6 == 0, F.array(F.concat(F.lit("topic of the "), section))).alias("learned_tags"),
         F.when(F.col("page_id") % 13 == 0, "dead").when(F.col("page_id") % 5 == 0, "pending").otherwise("full").alias("status"),
     )
 

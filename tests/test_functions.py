@@ -189,3 +189,35 @@ def test_sweep_counts_queries_without_a_hit(spark):
     queries = spark.createDataFrame([(0, "alpha", [1.0, 0.0]), (1, "gamma", [0.0, 1.0])], "query_id long, text string, vector array<double>")
     expected = spark.createDataFrame([(0, ["x.org"], 5), (1, ["x.org"], 5)], "query_id long, expect array<string>, k int")
     assert {(r.hits, r.mrr) for r in sweep.sweep(records, vectors, queries, expected).collect()} == {(1, 0.5)}
+
+
+def test_signals_reach_search_hits_tags_and_rebuilt_records(spark):
+    kind = "id string, title string, url string, canonical_url string, folder_path string, date_added long, status string, meta_description string, site_name string, excerpt string, headings array<string>, tags array<string>, learned_tags array<string>, tag_model_version string"
+    own = ("a", "plain", "https://x.org/one", "https://x.org/one", "", 1, "full", "walnut tables", "Timber", "words", ["oak"], ["t"], ["birch wood"], "v1")
+    bare = ("b", "", "https://x.org/two", "https://x.org/two", "", 1, "pending", None, None, "a snippet", None, None, None, None)
+    records = spark.createDataFrame([own, bare], kind)
+    asked = spark.createDataFrame([(0, "walnut"), (1, "timber"), (2, "oak"), (3, "birch")], "query_id long, text string")
+    got = {r.query_id: (r.id, r.lex_reason, round(r.lex, 6)) for r in search.lexical(records, asked).collect()}
+    assert got == {0: ("a", "description", 0.35), 1: ("a", "description", 0.35), 2: ("a", "description", 0.35), 3: ("a", "tag", 0.65)}
+    hits = {r.id: (r.description, r.tags) for r in search.hit_row(records).collect()}
+    assert hits == {"a": ("walnut tables", ["t", "birch wood"]), "b": ("a snippet", [])}
+    composed = library.with_composite(records)
+    texts = {r.id: r.t for r in composed.select("id", tags.tag_text(composed).alias("t")).collect()}
+    assert texts["a"] == "plain\nwalnut tables\nTimber" and texts["b"].startswith("x.org\na snippet")
+    # renamed: signals and tags stay, the tag stamp goes; a new row is pending and has no signals
+    now = records.withColumn("title", F.lit("renamed")).unionByName(records.limit(1).withColumn("id", F.lit("c")))
+    made = {r.id: r for r in library.rebuild(now, records).collect()}
+    assert made["a"].meta_description == "walnut tables" and made["a"].tags == ["t"] and made["a"].tag_model_version is None
+    assert made["c"].status == "pending" and made["c"].meta_description is None and made["c"].tags == [] and "learned_tags" not in made["a"].asDict()
+
+
+def test_outcomes_merge_signals_and_drop_stamps(spark):
+    kind = "id string, title string, url string, folder_path string, status string, meta_description string, model_version string, tag_model_version string"
+    records = spark.createDataFrame([(i, "mine", "https://x.org/p", "", "pending", "kept", "m", "t") for i in "abc"], kind)
+    rows = [("a", 1, 1, "full", "first", "one"), ("a", 2, 2, "meta_only", None, "two"), ("b", 1, 3, "dead", None, None)]
+    outcomes = spark.createDataFrame(rows, "id string, ts long, event_id long, status string, title string, meta_description string")
+    got = {r.id: r for r in crawl.merge_outcome(records, outcomes).collect()}
+    a, b, c = got["a"], got["b"], got["c"]
+    assert (a.title, a.og_title, a.meta_description, a.status, a.model_version, a.tag_model_version) == ("mine", "first", "two", "meta_only", None, None)
+    assert (b.meta_description, b.status, b.model_version, b.tag_model_version) == ("kept", "dead", "m", "t")
+    assert (c.status, c.model_version) == ("pending", "m")
