@@ -292,7 +292,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     stage.drop("recurring")
     placed = stage.write(candidates.mapInArrow(_segment_texts(window), "k long, d long, h long, i int, n int, seg binary").withColumn("s", F.xxhash64("seg")), "segments")
     distinct = stage.write(placed.groupBy("k", "s", "seg").agg(F.count("*").alias("c")), "distinct")
-    places = placed.select("k", "s", "d", "h", "i")
+    places = stage.write(placed.select("k", "s", "d", "h", "i"), "places")
+    stage.drop("segments")  # of their texts the distinct ones are enough
     windows = distinct.mapInArrow(_windows(window), "k long, w long, s long, off int, c long")
     counted = windows.groupBy("k", "w").agg(F.sum("c").alias("total"), F.min(F.struct("s", "off")).alias("at")).where("total > 1")
     passages = counted.groupBy("k", F.col("at.s").alias("s")).agg(F.collect_list("at.off").alias("offs"))  # at most window - anchor + 1 of them
@@ -302,7 +303,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     per_doc = ranges.groupBy("d", "h").agg(F.flatten(F.collect_list("runs")).alias("ranges"))
     located = candidates.select("d", "h", "text").join(per_doc, ["d", "h"]).mapInArrow(_remove(window), "d long, h long, n_removed long, kept string")
     changed = stage.write(located.dropDuplicates(["d", "h"]), "changed")
-    for name in ("candidates", "segments", "distinct", "passages", "located"):
+    for name in ("candidates", "places", "distinct", "passages", "located"):
         stage.drop(name)
     out = scan.select("doc_id", *key, "n_words", "sha").join(changed, ["d", "h"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
