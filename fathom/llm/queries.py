@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathom.llm import bpe, embedding_dedup, licenses, mixing, near_dedup, pii, quality, substring, token_files, topk
+from fathom.llm import bpe, embedding_dedup, licenses, mixing, near_dedup, pii, quality, sharding, substring, token_files, topk
 
 QUERIES = {
     "op1_pfair_mixing": mixing.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_pii_weak_supervision": pii.op8,
     "op9_repeated_passages": substring.op9,
     "op10_license_scan": licenses.op10,
+    "op11_histogram_sort": sharding.op11,
 }
 
 ORACLES: dict[str, str] = {
     "op1_pfair_mixing": mixing.SQL,
     "op2_topk_bitslices": topk.SQL,
     "op10_license_scan": licenses.SQL,
+    "op11_histogram_sort": sharding.SQL,
 }
