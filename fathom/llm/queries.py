@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathom.llm import bpe, embedding_dedup, licenses, mixing, near_dedup, pii, quality, sharding, substring, token_files, topk
+from fathom.llm import bpe, conversations, embedding_dedup, licenses, mixing, near_dedup, pii, quality, sharding, substring, token_files, topk
 
 QUERIES = {
     "op1_pfair_mixing": mixing.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_repeated_passages": substring.op9,
     "op10_license_scan": licenses.op10,
     "op11_histogram_sort": sharding.op11,
+    "op12_conversation_repair": conversations.op12,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op2_topk_bitslices": topk.SQL,
     "op10_license_scan": licenses.SQL,
     "op11_histogram_sort": sharding.SQL,
+    "op12_conversation_repair": conversations.SQL,
 }
