@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathom.llm import bpe, conversations, embedding_dedup, licenses, mixing, near_dedup, pii, quality, sharding, substring, token_files, topk
+from fathom.llm import bpe, conversations, embedding_dedup, fim, licenses, mixing, near_dedup, pii, quality, sharding, substring, token_files, topk
 
 QUERIES = {
     "op1_pfair_mixing": mixing.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": licenses.op10,
     "op11_histogram_sort": sharding.op11,
     "op12_conversation_repair": conversations.op12,
+    "op13_fill_in_middle": fim.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -25,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op10_license_scan": licenses.SQL,
     "op11_histogram_sort": sharding.SQL,
     "op12_conversation_repair": conversations.SQL,
+    "op13_fill_in_middle": fim.SQL,
 }

@@ -19,7 +19,7 @@ def test_query(spark, name):
     assert ours
     if name in ORACLES:
         c = duckdb.connect()
-        for t in ("documents", "embeddings", "labels"):
+        for t in ("documents", "embeddings", "labels", "conversations"):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         r = c.execute(ORACLES[name])
         names = [x[0] for x in r.description]
