@@ -2,7 +2,8 @@
 
 Base spans follow fixed patterns and checks and always stay. Candidates are all matches of those patterns, also
 those that fail their check, and matches of looser patterns of every kind: spelt-out and bracketed addresses, defanged and
-version 6 network addresses, card numbers with unusual marks between their digits, phone numbers without a plus. Three
+version 6 network addresses, card numbers with unusual marks between their digits, phone numbers without a plus, or with one
+and so many digits behind them that the base match fails. Three
 labelers vote +1, 0 or -1 on each candidate: its kind's check (well-formed address, parts of a network address, Luhn,
 number of digits), a gazetteer (top-level domains, special address blocks, issuer ranges, country and area codes), and
 words in the 60 characters before it. The number of candidates of each vote pattern (at most 27 a kind) is all that
@@ -45,11 +46,17 @@ LOOSE = {
     "ip": r"(?i)(?<![0-9a-f.:])(?:[0-9]{1,3}(?:\x20?[\[({](?:\.|dot)[\])}]\x20?[0-9]{1,3}){3}(?![0-9])"
     r"|(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:.])|[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5}::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?(?![0-9a-f:.]))",
     "card": r"(?<![0-9._/+-])(?:[0-9]{4}([._/]|\x20{2}|\x20?[\u2013-]\x20?)[0-9]{4}\1[0-9]{4}\1[0-9]{3,4}(?:\1[0-9]{3})?|[0-9]{4}([._/])[0-9]{6}\2[0-9]{5})(?![0-9._/-])",
-    "phone": r"(?<![0-9+./-])(?<!\+[0-9]\x20)(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|00[1-9][0-9]{0,2}[\x20.-](?:[0-9][\x20.-]?){6,12}[0-9])(?![0-9./-])",
+    "phone": r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])(?![./-][0-9])(?=[\x20().-]+[0-9])"
+    r"|(?<![0-9+./-])(?<!\+[0-9]{1,3}[\x20.-]{0,2})(?:(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}|00[1-9][0-9]{0,2}[\x20.-](?:[0-9][\x20.-]?){6,12}[0-9])(?![0-9./-])",
 }
 #: A text without this can hold no match.
 NEEDS = {"email": "@", "phone": "\\+"}
-LOOSE_NEEDS = {"email": r"(?i)[\[({\x20]at[\])}\x20]", "ip": r"[0-9](?:\x20?[\[({](?:\.|[Dd][Oo][Tt])|:)|::"}
+LOOSE_NEEDS = {
+    "email": r"(?i)[\[({\x20]at[\])}\x20]",
+    "ip": r"[0-9](?:\x20?[\[({](?:\.|[Dd][Oo][Tt])|:)|::",
+    "card": r"[0-9]{4}(?:[._/\u2013-]|\x20[\x20\u2013-])",
+    "phone": r"[0-9]{3}[\x20.-][0-9]{4}|00[1-9]",
+}
 
 # Top-level domains in common use, endings of file names, blocks of addresses that name no host,
 # issuer ranges with the lengths of their numbers, and the country codes of the numbering plan.
@@ -124,7 +131,7 @@ def _listed(kind: str, s: Column) -> tuple[Column, Column]:
         return ~s.rlike(NO_HOST) & ~s.rlike(r"^[0-9](\.[0-9]){3}$"), s.rlike(NO_HOST) | s.rlike(r"^[0-9](\.[0-9]){3}$")
     if kind == "card":
         return d.rlike(ISSUERS), d.rlike("^[01789]")
-    area = r"^\(?[2-9][0-8][0-9]\)?[\x20.-][2-9]"
+    area = r"^\(?[2-9][0-8][0-9]\)?[\x20.-]?[2-9]"
     return s.rlike(rf"^(\+|00){COUNTRIES}[^0-9]|^\+{COUNTRIES}[0-9]") | s.rlike(area), s.rlike(r"^\+0|^\(?[01][0-9]{2}\)?[\x20.-]|^\(?[2-9]11\)?[\x20.-]")
 
 
