@@ -210,15 +210,20 @@ def local_forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame, stage: Stage, name: str = "cc", most_rounds: int = 60) -> DataFrame:
+#: Edges that one task of a round handles and writes, at least.
+EDGES_A_TASK = 200_000
+
+
+def components(edges: DataFrame, stage: Stage, name: str = "cc", most_rounds: int = 60, shrunk: bool = False) -> DataFrame:
     """Connected components of undirected edges (a long, b long): (node, component), component the least node.
 
-    Each partition first shrinks its edges by union-find; then large-star and small-star steps run over
-    written tables until nothing changes. No node's neighbours are gathered anywhere: minima are
-    aggregated before the shuffle. Nodes without an edge are not returned.
+    Each partition first shrinks its edges by union-find, unless the caller has done so; then large-star and small-star steps run over
+    written tables until nothing changes, in as many tasks and files as their edges need. No node's neighbours are
+    gathered anywhere: minima are aggregated before the shuffle. Nodes without an edge are not returned.
     """
-    spark = edges.sparkSession
-    now = stage.write(edges.where("a <> b").select("a", "b").mapInArrow(local_forest, "a long, b long"), f"{name}-0")
+    edges = edges.where("a <> b").select("a", "b")
+    now = stage.write(edges if shrunk else edges.mapInArrow(local_forest, "a long, b long"), f"{name}-0")
+    most = now.count()
     for turn in range(1, most_rounds + 1):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("mb")).select("a", F.least("a", "mb").alias("m"))
@@ -226,7 +231,7 @@ def components(edges: DataFrame, stage: Stage, name: str = "cc", most_rounds: in
         # small star: every node's smaller neighbours, and the node itself, point to the least of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y").distinct()
-        new = stage.write(small.select(F.col("x").alias("a"), F.col("y").alias("b")), f"{name}-{turn}")
+        new = stage.write(small.select(F.col("x").alias("a"), F.col("y").alias("b")).coalesce(1 + most // EDGES_A_TASK), f"{name}-{turn}")
         n, held = new.select(F.count("*"), F.countDistinct("b")).first()
         settled = n == held and new.join(new.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
         stage.drop(f"{name}-{turn - 1}")

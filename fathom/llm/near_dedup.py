@@ -3,7 +3,8 @@
 Steps:
 
 1. One pass over the texts gives each document the size and digest of its shingle set and the hashes of
-   its signature's bands. Equal sets fall into one class, carried on by its least ``doc_id``.
+   its signature's bands. Equal sets fall into one class, known by its least ``doc_id`` and the set, as unlike texts
+   may repeat an id.
 2. Classes that share a band are candidates. Of each bucket the class that meets most others leads; each class
    is checked against one leader, the one it shares most buckets with, on whole sets, and links are grouped by
    union-find. Edited copies of one text meet in their original, so this connects most of a large group.
@@ -16,7 +17,7 @@ Steps:
 With 40 bands of 5 rows a pair at the threshold 0.8 shares no band with probability 1.3e-7, at 0.9 with 3e-16.
 
 Defined results: a null or wordless text has an empty set, is its own component and is kept; repeated rows
-share a class; a null ``doc_id`` takes no part in links; an empty table gives an empty result; extra columns
+share a class; rows that repeat an id with unlike texts are one document with the links of all of them; a null ``doc_id`` takes no part in links; an empty table gives an empty result; extra columns
 are ignored by :func:`groups` and passed on by :func:`deduplicate`, clashing names too; a very long text is hashed
 piece by piece and signed SLICE shingles at a time, so it costs 8 bytes a word; equal similarities tie to the smaller id.
 """
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.common import GOLDEN, Stage, WordHashes, components, fresh, hash_words, in_batches, mix64, read, shingle_hashes, texts, word_hashes
@@ -33,6 +34,8 @@ from fathom.llm.common import GOLDEN, Stage, WordHashes, components, fresh, hash
 BANDS, ROWS = 40, 5
 #: Shingles signed at a time, followers of a leader checked by one task, and bytes of sets on one side of a block.
 SLICE, FOLLOWERS, BLOCK_BYTES = 1 << 16, 1000, 24 << 20
+#: Shingles of one side filed at a time, and meetings with them counted at a time; a set's own are filed together.
+FILED, MEETINGS = 1 << 18, 1 << 20
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, n_owners: int, m: int) -> np.ndarray:
@@ -103,11 +106,14 @@ def _signatures(size: int, bands: int, rows: int):
 
 def _sets(size: int):
     def run(batches):
+        import xxhash
+
         hashes = word_hashes()
         for batch in in_batches(batches, "text", 250_000):
             sets, counts = _shingle_sets(batch, size, hashes)
             ends = np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sets[e - c : e].tobytes() for e, c in zip(ends, counts)], pa.binary())], ["rep", "members"])
+            members = [sets[e - c : e].tobytes() for e, c in zip(ends, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(m) for m in members], pa.binary()), pa.array(members, pa.binary())], ["doc_id", "set_key", "members"])
 
     return run
 
@@ -134,16 +140,30 @@ def _verified(percent: int):
     return run
 
 
+def _runs(sizes: np.ndarray, most: int):
+    """Ranges of positions whose sizes add up to `most` or less, one position at least."""
+    at = 0
+    ends = np.cumsum(sizes)
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
 def _block_links(percent: int):
     """Links between the two sides of one block pair; pairs already connected are skipped.
 
-    The left sets are filed by shingle once; the right ones are looked up in runs of bounded size.
+    The left sets are filed by shingle, FILED shingles at a time; the right ones are looked up in runs of MEETINGS
+    shingles they share with the left, so copies and very long texts take no more memory than others.
     """
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         rep, comp = table.column("rep").to_pylist(), table.column("comp").to_pylist()
-        members = table.column("members").to_pylist()
+        binary = table.column("members").combine_chunks()
+        offsets = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1] // 8
+        held = np.frombuffer(binary.buffers()[2], np.uint64, int(offsets[-1]))
+        sizes = np.diff(offsets).astype(np.int64)
         up: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -156,33 +176,41 @@ def _block_links(percent: int):
 
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         links: list[tuple[int, int]] = []
-        for a in range(0, len(left), 512):
-            some = left[a : a + 512]
-            sets = [np.frombuffer(members[i], np.uint64) for i in some]
-            sizes = np.array([len(x) for x in sets])
-            flat, holder = np.concatenate(sets), np.repeat(np.arange(len(some)), sizes)
+        for a, past_a in _runs(sizes[left], FILED):
+            some = left[a:past_a]
+            flat, holder = np.concatenate([held[offsets[i] : offsets[i + 1]] for i in some]), np.repeat(np.arange(len(some)), sizes[some])
             order = np.argsort(flat, kind="stable")
             flat, holder = flat[order], holder[order]
-            for b in range(0, len(right), 64):
-                others = right[b : b + 64]
-                theirs = [np.frombuffer(members[j], np.uint64) for j in others]
-                n = np.array([len(x) for x in theirs])
-                asked, asker = np.concatenate(theirs), np.repeat(np.arange(len(others)), n)
-                first, past = np.searchsorted(flat, asked, "left"), np.searchsorted(flat, asked, "right")
-                count = past - first
-                at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-                common = np.bincount(holder[at] * len(others) + np.repeat(asker, count), minlength=len(some) * len(others)).reshape(len(some), -1)
-                for x, y in np.argwhere(_similar(common, sizes[:, None], n[None, :], percent)):
-                    i, j = some[x], others[y]
-                    p, q = find(comp[i]), find(comp[j])
-                    if p != q:
-                        up[max(p, q)] = min(p, q)
-                        links.append((rep[i], rep[j]))
+            for b, past_b in _runs(sizes[right], FILED):
+                others = right[b:past_b]
+                asked = np.concatenate([held[offsets[j] : offsets[j + 1]] for j in others])
+                first = np.searchsorted(flat, asked, "left")
+                count = np.searchsorted(flat, asked, "right") - first
+                starts = np.concatenate([[0], np.cumsum(sizes[others])])
+                met = np.add.reduceat(count, starts[:-1]) if len(asked) else np.zeros(len(others), np.int64)
+                # a run of the right side times the left sets is one table of counts
+                for c, past_c in _runs(np.maximum(met, len(some)), MEETINGS):
+                    own = slice(starts[c], starts[past_c])
+                    n = count[own]
+                    at = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    asker = np.repeat(np.repeat(np.arange(past_c - c), sizes[others[c:past_c]]), n)
+                    common = np.bincount(holder[at] * (past_c - c) + asker, minlength=len(some) * (past_c - c)).reshape(len(some), -1)
+                    for x, y in np.argwhere(_similar(common, sizes[some][:, None], sizes[others[c:past_c]][None, :], percent)):
+                        i, j = some[x], others[c + y]
+                        p, q = find(comp[i]), find(comp[j])
+                        if p != q:
+                            up[max(p, q)] = min(p, q)
+                            links.append((rep[i], rep[j]))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
 
+def _class(doc_id: str) -> Column:
+    """A class by its least document and its set: two classes of one document are not the same."""
+    return F.struct(F.col(doc_id).alias("id"), F.xxhash64("set_key").alias("k"))
+
+
 def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, h, n_shingles, set_key, component_id, kept) of every row of docs; h is a hash of its text."""
     spark = docs.sparkSession
@@ -190,16 +218,15 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int)
     narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     sig = stage.write(narrow.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, h long, n_shingles long, set_key binary, bands array<long>"), "sig")
     linkable = sig.where("doc_id is not null and n_shingles > 0")
-    classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = linkable.withColumnRenamed("doc_id", "rep").join(classes, ["set_key", "rep"], "left_semi").select("rep", "set_key", F.col("n_shingles").alias("n"), "bands").distinct()
+    classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    reps = linkable.join(classes, ["set_key", "doc_id"], "left_semi").select(_class("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands").distinct()
     met = reps.select(F.explode("bands").alias("bucket"), "rep", "n")
     many = met.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).where("least <> most").select("bucket", "size")
     members = stage.write(met.join(many, "bucket"), "members")
     # sets of all classes that meet another one
-    need = members.select("rep").distinct()
-    sets = stage.write(
-        narrow.select("doc_id", "text").join(need.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "rep long, members binary").where("length(members) > 0").dropDuplicates(["rep"]), "sets"
-    )
+    need = members.select(F.col("rep.id").alias("doc_id")).distinct()
+    made = narrow.select("doc_id", "text").join(need, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, set_key binary, members binary").where("length(members) > 0")
+    sets = stage.write(made.select(_class("doc_id").alias("rep"), "members").dropDuplicates(["rep"]), "sets")
 
     def check(pairs: DataFrame) -> DataFrame:
         # a leader's set goes to as many keys as it has thousands of followers
@@ -209,15 +236,14 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int)
         leaders = leaders.select("a", "ma", F.explode(F.sequence(F.lit(0), F.coalesce("w", F.lit(1)) - 1)).alias("salt"))
         both = salted.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b").join(leaders, ["a", "salt"])
         fits = F.least(F.length("ma"), F.length("mb")) * 100 >= F.greatest(F.length("ma"), F.length("mb")) * percent
-        return both.where(fits).select("a", "b", "ma", "mb").mapInArrow(_verified(percent), "a long, b long")
+        return both.where(fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "ma", "mb").mapInArrow(_verified(percent), "a long, b long")
 
     weight = members.groupBy("rep").agg(F.sum("size").alias("w"))
-    heads = members.join(weight, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("first"))
+    heads = members.join(weight, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("w", -F.col("rep.id"), "rep.k")).alias("first"))
     meet = members.join(heads, "bucket").where("first <> rep").groupBy("rep", "first").count()
-    star = meet.groupBy("rep").agg(F.max_by("first", F.struct("count", -F.col("first"))).alias("a")).select("a", F.col("rep").alias("b"))
-    links = stage.write(check(star), "links-star")
-    comp = stage.write(components(links, stage, "cc-star"), "comp-star")
-    placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    star = meet.groupBy("rep").agg(F.max_by("first", F.struct("count", -F.col("first.id"), "first.k")).alias("a")).select("a", F.col("rep").alias("b"))
+    comp = components(check(star), stage, "cc-star", shrunk=True)  # a class has one leader
+    placed = members.join(comp, F.col("rep.id") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep.id").alias("comp"))
     # a bucket of several components belongs to the largest of them
     parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     open_ = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("size", -F.col("comp"))).alias("main"), F.count("*").alias("k")).where("k > 1").select("bucket", "main")
@@ -227,10 +253,11 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int)
     todo = todo.join(size, "main").withColumn("h", F.xxhash64("rep"))
     right = todo.select("main", "rep", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.pmod("h", "nr").cast("int").alias("j"))
     left = todo.where(outside).select("main", "rep", "comp", F.lit(0).alias("side"), F.pmod("h", "nl").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
-    blocks = left.union(right).join(sets, "rep")
-    more = stage.write(blocks.groupBy("main", "i", "j").applyInArrow(_block_links(percent), "a long, b long"), "links-more")
-    final = components(links.union(more), stage, "cc")
-    of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("c"))
+    blocks = left.union(right).join(sets, "rep").select("main", "i", "j", "side", F.col("rep.id").alias("rep"), "comp", "members")
+    more = blocks.groupBy("main", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    stars = comp.select(F.col("component").alias("a"), F.col("node").alias("b"))  # as good as the links they come from
+    final = components(stars.union(more), stage, "cc", shrunk=True)  # a block gives a forest
+    of_class = classes.join(final, F.col("doc_id") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc_id").alias("c"))
     out = sig.select("doc_id", "h", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "h", "n_shingles", "set_key", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -153,6 +153,20 @@ def hybrid(records: DataFrame, vectors: DataFrame | None, queries: DataFrame, w:
     return ranked(scored, w.limit).select("query_id", "rank", "id", "score", "reason")
 
 
+def versions(records: DataFrame, vectors: DataFrame, queries: DataFrame, w: Weights = Weights()) -> DataFrame:
+    """(query_id, version, pending, rank, id, score, reason): a lexical answer of every query at once, version 0, and the fused one, version 1.
+
+    pending says that a later version is to come: queries (query_id, text, vector) with a null vector have none yet. A query
+    without hits has one row of null rank, so that an empty answer replaces a full one too.
+    """
+    has = F.col("vector").isNotNull()
+    first = hybrid(records, None, queries, w).withColumn("version", F.lit(0))
+    second = hybrid(records, vectors, queries.where(has), w).withColumn("version", F.lit(1))
+    answered = queries.select("query_id", F.explode(F.when(has, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("version"))
+    hits = answered.join(first.unionByName(second), ["query_id", "version"], "left")
+    return hits.select("query_id", "version", (F.col("version") == 0).alias("pending"), "rank", "id", "score", "reason")
+
+
 def ranked(hits: DataFrame, limit: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.lower("title"), "title", "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

@@ -72,7 +72,7 @@ records AS (
         1700000000000 + page_id * 86400000 AS date_added,
         list_filter(list_transform(regexp_extract_all(html, '(?is)<h[12]\\b[^>]*>(.*?)</h[12]>', 1), lambda x: trim(regexp_replace({decoded("regexp_replace(x, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g'))), lambda x: x <> '') AS headings,
         ['tag ' || regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1)] AS tags,
-        CASE page_id % 4 WHEN 0 THEN upper(title) WHEN 1 THEN 'On ' || title END AS og_title,
+        CASE page_id % 4 WHEN 0 THEN translate(title, '{A.LOWER}', '{A.UPPER}') WHEN 1 THEN 'On ' || title END AS og_title,
         CASE WHEN page_id % 3 <> 2 THEN 'Notes and links on the ' || regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) || ' pages' END AS meta_description,
         CASE WHEN page_id % 5 < 2 THEN 'The ' || host END AS site_name,
         CASE WHEN page_id % 2 = 0 THEN 'Going to the town with ' || title END AS excerpt,
@@ -515,10 +515,14 @@ def debounce_sessions(spark: SparkSession, d: str) -> DataFrame:
     return changes.debounce(events, "user_id", quiet="30 minutes").select("user_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n")
 
 
-@query(
-    "SELECT o.event_id AS click_id, epoch_us(o.ts) // 1000 AS opened, epoch_us(c.ts) // 1000 AS closed FROM events o JOIN events c ON o.user_id = c.user_id AND o.event_type = 'click' AND c.event_type = 'error' "
-    "AND c.ts >= o.ts AND c.ts < o.ts + INTERVAL 2 HOUR"
-)
+#: The row before a close in its tab's order is the open it belongs to, or there is none.
+_BOUNCED = """
+told AS (SELECT user_id, ts, event_type = 'click' AS opens, event_id FROM events WHERE event_type IN ('click', 'error')),
+near AS (SELECT *, lag(opens) OVER w AS was_open, lag(event_id) OVER w AS click_id, lag(ts) OVER w AS opened FROM told WINDOW w AS (PARTITION BY user_id ORDER BY ts, NOT opens, event_id)),
+bounced AS (SELECT click_id, opened, ts AS closed FROM near WHERE NOT opens AND was_open AND ts < opened + INTERVAL 2 HOUR)"""
+
+
+@query(f"WITH {_BOUNCED} SELECT click_id, epoch_us(opened) // 1000 AS opened, epoch_us(closed) // 1000 AS closed FROM bounced")
 def bounce_join(spark: SparkSession, d: str) -> DataFrame:
     e = A.table(spark, d, "events").select("event_id", "event_type", F.col("user_id").alias("tab"), F.col("ts").cast("timestamp").alias("ts"))
     opens = e.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "tab", "ts")
@@ -527,8 +531,7 @@ def bounce_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {CLICKS}, b AS (SELECT DISTINCT o.event_id FROM events o JOIN events c ON o.user_id = c.user_id AND o.event_type = 'click' AND c.event_type = 'error' AND c.ts >= o.ts AND c.ts < o.ts + INTERVAL 2 HOUR) "
-    "SELECT click_id, sat AND b.event_id IS NULL AS sat FROM clicks LEFT JOIN b ON b.event_id = click_id"
+    f"WITH {CLICKS}, {_BOUNCED} SELECT c.click_id, sat AND b.click_id IS NULL AS sat FROM clicks c LEFT JOIN bounced b ON b.click_id = c.click_id"
 )
 def bounce_marks(spark: SparkSession, d: str) -> DataFrame:
     return store.mark_unsatisfying(A.clicks(spark, d), bounce_join(spark, d)).select("click_id", "sat")

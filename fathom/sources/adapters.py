@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fathom.functions import html, text, url
 
 DAY_MS, START_MS, CURRENT = 86_400_000, 1_700_000_000_000, "fixture@1"
+#: ASCII letters alone: upper() of other ones differs between engines.
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +31,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         title.alias("title"),
         F.concat(F.lit("Library / "), section, F.lit(" / "), url.domain(canonical)).alias("folder_path"),
         (F.lit(START_MS) + F.col("page_id") * DAY_MS).alias("date_added"),
-        F.when(n % 4 == 0, F.upper(title)).when(n % 4 == 1, F.concat(F.lit("On "), title)).alias("og_title"),
+        F.when(n % 4 == 0, F.translate(title, LOWER, UPPER)).when(n % 4 == 1, F.concat(F.lit("On "), title)).alias("og_title"),
         F.when(n % 3 != 2, F.concat(F.lit("Notes and links on the "), section, F.lit(" pages"))).alias("meta_description"),
         F.when(n % 5 < 2, F.concat(F.lit("The "), url.domain(canonical))).alias("site_name"),
         html.headings(F.col("html")).alias("headings"),
@@ -84,7 +86,7 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, id, attempts, status, detail, ts): crawl outcomes from events."""
+    """(event_id, id, attempts, status, detail, ts, us): crawl outcomes from events, their moments in milli- and microseconds."""
     kind = F.col("event_type")
     return table(spark, sf_dir, "events").select(
         "event_id",
@@ -93,4 +95,5 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind.isin("error", "signup"), "dead").otherwise("full").alias("status"),
         F.when(kind == "error", "HTTP 503").when(kind == "signup", "HTTP 404").alias("detail"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
     )
