@@ -39,7 +39,7 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
 #: The whole tree anew from the changes' last values, from the roots down.
 _TREE = """
 nodes AS (
-    SELECT 'root' AS id, NULL AS parent_id, '' AS title, NULL AS url UNION ALL SELECT 'r' || r_regionkey, 'root', r_name, NULL FROM region
+    SELECT 'root' AS id, CAST(NULL AS VARCHAR) AS parent_id, '' AS title, CAST(NULL AS VARCHAR) AS url UNION ALL SELECT 'r' || r_regionkey, 'root', r_name, NULL FROM region
     UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, NULL FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name, 'https://x.example/' FROM customer
 ),
 told AS (
@@ -58,8 +58,8 @@ told AS (
 ),
 last AS (
     SELECT c.id AS id, max(seq) FILTER (c.op = 'created') AS born, max(seq) FILTER (c.op = 'removed') AS gone, max(seq) FILTER (c.op IN ('created', 'moved')) AS link,
-           arg_max({'v': c.p}, seq) FILTER (c.op IN ('created', 'moved')) AS p, arg_max({'v': c.t}, seq) FILTER (c.op IN ('created', 'changed')) AS t,
-           arg_max({'v': c.u}, seq) FILTER (c.op = 'created' OR c.op = 'changed' AND c.u IS NOT NULL) AS u
+           arg_max({'v': CAST(c.p AS VARCHAR)}, seq) FILTER (c.op IN ('created', 'moved')) AS p, arg_max({'v': CAST(c.t AS VARCHAR)}, seq) FILTER (c.op IN ('created', 'changed')) AS t,
+           arg_max({'v': CAST(c.u AS VARCHAR)}, seq) FILTER (c.op = 'created' OR c.op = 'changed' AND c.u IS NOT NULL) AS u
     FROM told WHERE c IS NOT NULL GROUP BY 1
 ),
 final AS (
