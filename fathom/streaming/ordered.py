@@ -82,7 +82,7 @@ def folded(events: DataFrame, key: str, make: Callable[[], Fold], schema: str, l
             state.remove()
         else:
             state.update((json.dumps(waiting, default=int), json.dumps(own, default=int)))
-            ahead = [e["ms"] + 1 for e in waiting[:1]] + [own["due"]] * (own is not None and own.get("due") is not None)
+            ahead = [x for x in (waiting[0]["ms"] + 1 if waiting else None, (own or {}).get("due")) if x is not None]
             if ahead:
                 state.setTimeoutTimestamp(max(min(ahead), past + 1))
         yield pd.DataFrame(out, columns=names)
