@@ -246,6 +246,12 @@ def suggestions(hits: DataFrame, records: DataFrame, queries: DataFrame, most: i
     return placed.select("query_id", "place", "id", F.concat(shown, F.lit(" <dim>- </dim><url>"), T.escape_xml(F.col("url")), F.lit("</url>")).alias("content"))
 
 
+def suggested_urls(hits: DataFrame, records: DataFrame) -> DataFrame:
+    """(query_id, url, id, rank): the record that stands for a URL among a query's hits, the first by rank; what was opened is found by it."""
+    rows = hits.join(records.select("id", "url"), "id")
+    return rows.groupBy("query_id", "url").agg(F.min(F.struct("rank", "id")).alias("first")).select("query_id", "url", "first.id", "first.rank")
+
+
 def hit_row(records: DataFrame) -> DataFrame:
     """What a hit shows besides its score: description or else excerpt, at most 240 characters, all tags, and whether the page is gone."""
     described = F.left(F.coalesce(optional(records, "meta_description"), optional(records, "excerpt")), F.lit(240))

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """table with the rows of changes in place of those of the same key; whole rows. Of changes that repeat a key one stays."""
-    changes = changes.dropDuplicates([key])
+def upsert(table: DataFrame, changes: DataFrame, key: str = "id", seq: str | None = None) -> DataFrame:
+    """table with the rows of changes in place of those of the same key; whole rows.
+
+    Of changes that repeat a key the one of greatest seq stays, which is left out of the table unless it has that column;
+    without seq, and among equal ones, the greatest row.
+    """
+    row = F.struct(*table.columns)
+    changes = changes.groupBy(key).agg((F.max(row) if seq is None else F.max(F.struct(F.col(seq).alias("at"), row.alias("row")))["row"]).alias("r")).select("r.*")
     return table.join(changes.select(key), key, "left_anti").select(*table.columns).unionByName(changes)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from fathom.functions import text, url
 from fathom.functions.records import optional
 from fathom.functions.tables import DOMAIN_TAGS, STOPWORDS, TAXONOMY
 from fathom.functions.vectors import dot, normalize
+from fathom.operators import clusters
 
 #: Zero-shot threshold and count, tags a record; admission and assignment of topics.
 THRESHOLD, BEST, MOST_TAGS = 0.45, 2, 4
@@ -122,7 +122,7 @@ def topic_terms(docs: DataFrame) -> DataFrame:
     return joined.where("df_c >= greatest(2, ceil(0.15 * n))").select("cluster", "term", "df_c", score.alias("score"))
 
 
-def label_clusters(terms: DataFrame, clusters: DataFrame) -> DataFrame:
+def label_clusters(terms: DataFrame, named: DataFrame) -> DataFrame:
     """(cluster, label): two terms by score, none a prefix-of-four of a chosen one, each pair once over all clusters.
 
     Sequential by definition, over at most 30 clusters and the terms that 15 % of a cluster's documents share.
@@ -150,56 +150,16 @@ def label_clusters(terms: DataFrame, clusters: DataFrame) -> DataFrame:
             out.append((row.cluster, label))
         return pd.DataFrame(out, columns=["cluster", "label"])
 
-    every = clusters.select("cluster").distinct().join(best, "cluster", "left")
+    every = named.select("cluster").distinct().join(best, "cluster", "left")
     return every.withColumn("of", F.lit(1)).groupBy("of").applyInPandas(run, "cluster long, label string")
 
 
-def spherical_kmeans(vectors: np.ndarray, k: int, seed: int = SEED, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Assignments and unit centroids: seeded by squared cosine distance, stopped when nothing moves."""
-    rng = np.random.default_rng(seed)
-    n = len(vectors)
-    centers = [vectors[rng.integers(n)]]
-    distance = (1 - vectors @ centers[0]) ** 2
-    while len(centers) < min(k, n):
-        total = distance.sum()
-        pick = min(int(np.searchsorted(np.cumsum(distance), rng.random() * total)), n - 1) if total > 0 else n - 1
-        centers.append(vectors[pick])
-        distance = np.minimum(distance, (1 - vectors @ centers[-1]) ** 2)
-    c, assigned = np.stack(centers), np.full(n, -1)
-    for _ in range(rounds):
-        sims = vectors @ c.T
-        now = sims.argmax(axis=1)
-        if (now == assigned).all():
-            break
-        assigned = now
-        worst = int(sims[np.arange(n), now].argmin())
-        for j in range(len(c)):
-            mine = vectors[now == j]
-            mean = mine.sum(axis=0) if len(mine) else vectors[worst]
-            c[j] = mean / max(np.linalg.norm(mean), 1e-12)
-    return assigned, c
-
-
-def learn_topics(vectors: DataFrame, k: int | None = None, seed: int = SEED, most_local: int = 20_000) -> DataFrame:
-    """(id, cluster) by spherical k-means: in one group up to most_local rows, by distributed cosine k-means beyond."""
+def learn_topics(vectors: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """(id, cluster) of vectors (id, vector) by spherical k-means, one algorithm at every size; none of a small library."""
     n = vectors.count()
     if n < MIN_CORPUS:
         return vectors.select("id", F.lit(None).cast("long").alias("cluster")).where("false")
-    k = k or choose_k(n)
-    rows = vectors.select("id", normalize(F.col("vector")).alias("v"))
-    if n > most_local:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        ready = rows.select("id", array_to_vector("v").alias("features"))
-        return KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=ROUNDS).fit(ready).transform(ready).select("id", F.col("prediction").cast("long").alias("cluster"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", key=lambda s: s.astype("int64") if s.str.isdigit().all() else s)
-        assigned, _ = spherical_kmeans(np.stack(pdf["v"].to_list()), k, seed)
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "cluster": assigned.astype("int64")})
-
-    return rows.withColumn("of", F.lit(1)).groupBy("of").applyInPandas(run, "id string, cluster long")
+    return clusters.spherical_kmeans(vectors, k or choose_k(n), seed, ROUNDS)
 
 
 def centroids(vectors: DataFrame, cluster: str) -> DataFrame:

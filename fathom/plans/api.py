@@ -15,6 +15,7 @@ class Engine:
         self.spark, self.records, self.vectors, self.clicks = spark, records, vectors, clicks
         self.provider = provider or embed.HashingProvider()
         self.undo: DataFrame | None = None
+        self.undo_vectors: DataFrame | None = None
 
     def embed_queries(self, texts: list[str]) -> DataFrame:
         rows = [(i, t, [float(x) for x in self.provider.embed_query(t)]) for i, t in enumerate(texts)]
@@ -44,11 +45,13 @@ class Engine:
         keys = self.spark.createDataFrame([(record_id,)], "id string")
         out = Engine(self.spark, store.delete(self.records, keys), None if self.vectors is None else store.delete(self.vectors, keys), self.clicks, self.provider)
         out.undo = self.records.where(F.col("id") == record_id)
+        out.undo_vectors = None if self.vectors is None else self.vectors.where(F.col("id") == record_id)
         return out
 
     def undo_delete(self) -> Engine:
         back = self.records if self.undo is None else store.upsert(self.records, self.undo)
-        return Engine(self.spark, back, self.vectors, self.clicks, self.provider)
+        vectors = self.vectors if self.vectors is None or self.undo_vectors is None else store.upsert(self.vectors, self.undo_vectors)
+        return Engine(self.spark, back, vectors, self.clicks, self.provider)
 
     def reveal(self, record_id: str) -> DataFrame:
         return self.records.where(F.col("id") == record_id).select("id", "folder_path")

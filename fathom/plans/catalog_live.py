@@ -129,3 +129,12 @@ def refined_hits(spark: SparkSession, d: str) -> DataFrame:
     """Of each query the newest answer: fused where its vector is of the current model, lexical and pending where it is not yet."""
     asked = A.queries(spark, d).join(A.vectors(spark, d).where(F.col("model_version") == A.CURRENT).select("vec_id", "vector"), "vec_id", "left").select("query_id", "text", "vector")
     return changes.refined(search.versions(A.records(spark, d), A.vectors(spark, d), asked, WEIGHTS))
+
+
+_HITS = f"WITH {PAGES}, {ASKED}, {LEXICAL}, {SEMANTIC}, {FUSED}"
+
+
+@query(f"{_HITS} SELECT CAST(query_id AS BIGINT) AS query_id, url, h.id AS id, CAST(rank AS INTEGER) AS rank FROM hits h JOIN records r ON r.id = h.id QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY rank) = 1")
+def suggested_urls(spark: SparkSession, d: str) -> DataFrame:
+    records = A.records(spark, d)
+    return search.suggested_urls(search.hybrid(records, A.vectors(spark, d), A.query_vectors(spark, d), WEIGHTS), records)

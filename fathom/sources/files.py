@@ -4,32 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ROOTS = ("bookmark_bar", "other", "synced")
-_NODE_DEPTH = 12
+from fathom.operators.held import hold
 
+ROOTS = ("bookmark_bar", "other", "synced")
+_NODE = "struct<id: string, name: string, type: string, url: string, children: array<string>>"
 
-def _node(depth: int) -> T.StructType:
-    fields = [T.StructField(n, T.StringType()) for n in ("id", "name", "type", "url", "date_added")]
-    if depth:
-        fields.append(T.StructField("children", T.ArrayType(_node(depth - 1))))
-    return T.StructType(fields)
 
+def profile_tree(spark: SparkSession, path: str) -> DataFrame:
+    """nodes (id, parent_id, title, url) of a browser profile's JSON file; roots without children are skipped.
 
-def profile_tree(spark: SparkSession, path: str, depth: int = _NODE_DEPTH) -> DataFrame:
-    """nodes (id, parent_id, title, url) of a browser profile's JSON file; roots without children are skipped."""
-    roots = T.StructType([T.StructField(r, _node(depth)) for r in ROOTS])
-    raw = spark.read.schema(T.StructType([T.StructField("roots", roots)])).json(path, multiLine=True)
-    level = raw.select(F.explode(F.array(*[F.struct(f"roots.{r}.id", f"roots.{r}.name", f"roots.{r}.url", f"roots.{r}.children") for r in ROOTS])).alias("n")).where("size(n.children) > 0")
-    level = level.select("n", F.lit("0").alias("parent_id"))
+    A level's children are kept as JSON text and parsed as the next level, so a tree may have any depth.
+    """
+    raw = spark.read.text(path, wholetext=True)
+    roots = F.from_json("value", f"struct<roots: struct<{', '.join(f'{r}: {_NODE}' for r in ROOTS)}>>")["roots"]
+    level = raw.select(F.explode(F.array(*[roots[r] for r in ROOTS])).alias("n")).where("size(n.children) > 0").select("n", F.lit("0").alias("parent_id"))
     out = spark.createDataFrame([("0", None, "", None)], "id string, parent_id string, title string, url string")
-    for left in range(depth, -1, -1):
+    while True:
+        level = hold(level)
+        if level.isEmpty():
+            return out.where("id is not null")
         out = out.unionByName(level.select("n.id", "parent_id", F.col("n.name").alias("title"), "n.url"))
-        if left == 0:
-            break
-        level = level.select(F.col("n.id").alias("parent_id"), F.explode("n.children").alias("n"))
-    return out.where("id is not null")
+        level = level.select(F.col("n.id").alias("parent_id"), F.explode("n.children").alias("c")).select(F.from_json("c", _NODE).alias("n"), "parent_id")
 
 
 def goldens(spark: SparkSession, path: str) -> DataFrame:

@@ -19,6 +19,23 @@ def test_profile_tree(spark, tmp_path):
     assert got == {("0", None), ("1", "0"), ("10", "1"), ("11", "1"), ("110", "11")}
 
 
+def test_deep_profile_tree(spark, tmp_path):
+    node = {"id": "40", "name": "leaf", "type": "url", "url": "https://a.example/?q=x\"y"}
+    for i in range(39, 0, -1):
+        node = {"id": str(i), "name": f"folder {i}", "type": "folder", "children": [node]}
+    (tmp_path / "b.json").write_text(json.dumps({"roots": {"other": node}}))
+    got = {r.id: (r.parent_id, r.url) for r in files.profile_tree(spark, str(tmp_path / "b.json")).collect()}
+    assert got["40"] == ("39", node_url(tmp_path / "b.json"))
+    assert len(got) == 41
+
+
+def node_url(path):
+    node = json.loads(path.read_text())["roots"]["other"]
+    while "children" in node:
+        node = node["children"][0]
+    return node["url"]
+
+
 def test_goldens(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps({"minHitRate": 0.75, "queries": [{"query": "a", "expect": ["x"], "k": 3}, {"query": "b", "expect": []}]}))
     assert [(r.text, r.k, r.min_hit_rate) for r in files.goldens(spark, str(tmp_path / "g.json")).orderBy("query_id").collect()] == [("a", 3, 0.75), ("b", 5, 0.75)]
@@ -63,6 +80,7 @@ def test_engine(spark):
     first = hits.where("rank = 1").first()
     less = engine.delete(first.id)
     assert less.reveal(first.id).count() == 0 and less.undo_delete().reveal(first.id).count() == 1
+    assert less.vectors.count() < vectors.count() == less.undo_delete().vectors.count()
     assert engine.ingest(adapters.records(spark, SF)).records.count() == records.count()
     assert engine.browse("name", "Library / en").count() < engine.browse().count()
     assert engine.suggest(queries.drop("vector")).groupBy("query_id").count().agg(F.max("count")).first()[0] <= 6
