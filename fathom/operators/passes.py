@@ -63,7 +63,7 @@ def embed_pass(records: BucketTable, vectors: BucketTable, make: Callable[[], em
 def tag_stamp(model_version: str, taxonomy: DataFrame) -> str:
     """The version of tags: model and contents of the taxonomy (id, description, ...) they are made by; it does not depend on row order."""
     total = taxonomy.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "description").cast("decimal(38,0)")).alias("h")).first()
-    return f"{model_version}#{total.n}#{(total.h or 0) % 2**64:016x}"
+    return f"{model_version}#{total.n}#{int(total.h or 0) % 2**64:016x}"
 
 
 def tag_vectors(taxonomy: DataFrame, stored: BucketTable, make: Callable[[], embed.EmbeddingProvider], version: str) -> DataFrame:
