@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from fathom.functions.text import collapse_whitespace, trim
 
-SCAN_CHARS = 200_000
+SCAN_CHARS, EXCERPT_WORDS = 200_000, 300
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 
 
@@ -103,9 +103,10 @@ class _Reader(HTMLParser):
             (self.inside if self.article else self.whole).append(data)
 
 
-def excerpt_of(page: str | None, most: int = 300) -> str | None:
+def excerpt_of(page: str | None, most: int = EXCERPT_WORDS) -> str | None:
     reader = _Reader()
     reader.feed(page or "")
+    reader.close()
     words = " ".join(reader.inside or reader.whole).split()
     return " ".join(words[:most]) or None
 

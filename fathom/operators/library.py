@@ -31,6 +31,12 @@ def flatten(nodes: DataFrame, excluded: list[str] | None = None, max_depth: int
     raise ValueError(f"the tree has more than {max_depth} levels")
 
 
+def leaves(nodes: DataFrame, excluded: list[str] | None = None) -> DataFrame:
+    """(id, url, canonical_url, title, folder_path, date_added) of the leaves of nodes, without those in or below excluded folders."""
+    kept = flatten(nodes, excluded).where("is_leaf").select("id", F.col("path").alias("folder_path"))
+    return nodes.join(kept, "id").select("id", "url", url.canonical(F.col("url")).alias("canonical_url"), F.coalesce("title", F.lit("")).alias("title"), "folder_path", "date_added")
+
+
 def folder_counts(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     """(id, n): leaves below each folder, at any depth; folders without any are left out."""
     up = nodes.where("url is null").select("id", "parent_id")

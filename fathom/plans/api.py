@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators import crawl, embed, library, search, store, sweep, tags
+from fathom.operators.prefs import Prefs
 
 
 class Engine:
     """Records, vectors and clicks as DataFrames; every method returns a DataFrame and changes nothing in place."""
 
-    def __init__(self, spark: SparkSession, records: DataFrame, vectors: DataFrame | None = None, clicks: DataFrame | None = None, provider: embed.EmbeddingProvider | None = None):
+    def __init__(self, spark: SparkSession, records: DataFrame, vectors: DataFrame | None = None, clicks: DataFrame | None = None, provider: embed.EmbeddingProvider | None = None, prefs: Prefs | None = None):
         self.spark, self.records, self.vectors, self.clicks = spark, records, vectors, clicks
-        self.provider = provider or embed.HashingProvider()
+        self.provider, self.prefs = provider or embed.HashingProvider(), prefs or Prefs()
         self.undo: DataFrame | None = None
         self.undo_vectors: DataFrame | None = None
 
+    def _with(self, **changes) -> Engine:
+        kept = {n: getattr(self, n) for n in ("records", "vectors", "clicks", "provider", "prefs")}
+        return Engine(self.spark, **kept | changes)
+
     def embed_queries(self, texts: list[str]) -> DataFrame:
         rows = [(i, t, [float(x) for x in self.provider.embed_query(t)]) for i, t in enumerate(texts)]
         return self.spark.createDataFrame(rows, "query_id long, text string, vector array<double>")
@@ -39,11 +44,11 @@ class Engine:
     def open_result(self, click: DataFrame) -> Engine:
         """With the click appended; the newest 2000 stay."""
         clicks = click if self.clicks is None else self.clicks.unionByName(click)
-        return Engine(self.spark, self.records, self.vectors, store.newest(clicks, "click_id"), self.provider)
+        return self._with(clicks=store.newest(clicks, "click_id"))
 
     def delete(self, record_id: str) -> Engine:
         keys = self.spark.createDataFrame([(record_id,)], "id string")
-        out = Engine(self.spark, store.delete(self.records, keys), None if self.vectors is None else store.delete(self.vectors, keys), self.clicks, self.provider)
+        out = self._with(records=store.delete(self.records, keys), vectors=None if self.vectors is None else store.delete(self.vectors, keys))
         out.undo = self.records.where(F.col("id") == record_id)
         out.undo_vectors = None if self.vectors is None else self.vectors.where(F.col("id") == record_id)
         return out
@@ -51,7 +56,7 @@ class Engine:
     def undo_delete(self) -> Engine:
         back = self.records if self.undo is None else store.upsert(self.records, self.undo)
         vectors = self.vectors if self.vectors is None or self.undo_vectors is None else store.upsert(self.vectors, self.undo_vectors)
-        return Engine(self.spark, back, vectors, self.clicks, self.provider)
+        return self._with(records=back, vectors=vectors)
 
     def reveal(self, record_id: str) -> DataFrame:
         return self.records.where(F.col("id") == record_id).select("id", "folder_path")
@@ -63,7 +68,21 @@ class Engine:
         """After a pass over the current tree: rows rebuilt, those no longer there gone, vectors with them."""
         rebuilt = library.rebuild(now, self.records)
         gone = None if self.vectors is None else self.vectors.join(rebuilt.select("id"), "id", "left_semi")
-        return Engine(self.spark, rebuilt, gone, self.clicks, self.provider)
+        return self._with(records=rebuilt, vectors=gone)
+
+    def ingest_tree(self, nodes: DataFrame) -> Engine:
+        """After a pass over nodes (id, parent_id, title, url, date_added); excluded folders go with all below them."""
+        return self.ingest(library.leaves(nodes, list(self.prefs.excluded)))
+
+    def set_prefs(self, message: dict, nodes: DataFrame | None = None) -> Engine:
+        """With the preferences of a message, coerced; where the tree is given, a pass over it takes out or brings back what they concern."""
+        changed = self._with(prefs=Prefs.of(message))
+        return changed if nodes is None else changed.ingest_tree(nodes)
+
+    def reset(self) -> Engine:
+        """Every table empty, the preferences at their defaults, nothing to undo."""
+        none = lambda df: None if df is None else df.limit(0)
+        return self._with(records=none(self.records), vectors=none(self.vectors), clicks=none(self.clicks), prefs=Prefs())
 
     def tag(self, tag_vectors: DataFrame, threshold: float = tags.THRESHOLD) -> DataFrame:
         return tags.zero_shot(self.vectors, tag_vectors, threshold)
@@ -72,7 +91,8 @@ class Engine:
         return tags.cluster_stats(self.vectors, cluster)
 
     def crawl_waves(self) -> DataFrame:
-        return crawl.waves(self.records.where("status = 'pending'"))
+        """Nothing is crawled where the preferences forbid it."""
+        return crawl.waves(self.records.where((F.col("status") == "pending") & F.lit(self.prefs.crawl_enabled)))
 
     def rank_of(self, queries: DataFrame, record_id: str) -> DataFrame:
         return self.search(queries).where(F.col("id") == record_id).select("query_id", "rank")

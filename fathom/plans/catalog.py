@@ -174,9 +174,13 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return A.records(spark, d).where("title <> ''").select(F.col("id").cast("long").alias("page_id"), text.content_hash(F.col("title")).alias("content_hash"))
 
 
-@query(f"WITH {PAGES} SELECT page_id, nullif(title, '') AS title, CAST(NULL AS VARCHAR) AS og_title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS site, CAST(0 AS BIGINT) AS n_links FROM records")
+@query(
+    f"WITH {PAGES} SELECT page_id, nullif(title, '') AS title, CASE WHEN page_id % 3 = 0 THEN 'Notes & links ' || page_id END AS og_title, "
+    "CASE page_id % 4 WHEN 1 THEN 'On <' || page_id || '>' WHEN 2 THEN 'plain ' || page_id END AS description, CASE WHEN page_id % 5 = 0 THEN 'Site ' || (page_id % 7) END AS site, "
+    "CAST(CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN page_id % 6 = 0 THEN 1 ELSE 0 END + CASE WHEN page_id % 7 = 3 THEN 1 ELSE 0 END AS BIGINT) AS n_links FROM records"
+)
 def signals_regex(spark: SparkSession, d: str) -> DataFrame:
-    return library.signals(A.table(spark, d, "pages"))
+    return library.signals(A.dressed_pages(spark, d))
 
 
 def composite_sql(rows: str) -> str:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.functions import html, text, url
+from fathom.functions import text, url
 from fathom.functions.tables import STOPWORDS, TAXONOMY
-from fathom.operators import crawl, library, search, store, tags
+from fathom.operators import crawl, icons, library, search, store, tags
 from fathom.plans.catalog import CLICKS, HYBRID, NOW_MS, PAGES, WEIGHTS, composite_sql, query, tok
 from fathom.sources import adapters as A
 
@@ -89,7 +89,7 @@ def icon_attempts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_ICONS} SELECT count(*) AS total, count(*) FILTER (has_icon) AS has_bytes, count(*) FILTER (NOT has_icon) AS negative FROM held")
 def icon_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _icons(spark, d).agg(F.count("*").alias("total"), F.count_if("has_icon").alias("has_bytes"), F.count_if(~F.col("has_icon")).alias("negative"))
+    return icons.stats(_icons(spark, d))
 
 
 @query("SELECT event_id, event_type <> 'error' AND 1 + event_id % 131073 <= 131072 AS valid FROM events")
@@ -195,12 +195,6 @@ def folder_activity(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("folder_path").agg(F.count("*").alias("size"), F.max("activity").alias("active"))
 
 
-@query()
-def page_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    """Readable text by a parser, in Arrow batches."""
-    return A.table(spark, d, "pages").select("page_id", html.excerpt("html").alias("excerpt"))
-
-
 _REBUILT = (
     "rebuilt AS (SELECT * REPLACE (CASE WHEN old THEN status ELSE 'pending' END AS status, CASE WHEN old THEN og_title END AS og_title, CASE WHEN old THEN meta_description END AS meta_description, CASE WHEN old THEN site_name END AS site_name, "
     "CASE WHEN old THEN headings ELSE [] END AS headings, CASE WHEN old THEN excerpt END AS excerpt, CASE WHEN old THEN tags ELSE [] END AS tags) FROM (SELECT *, page_id % 10 <> 0 AS old FROM records))"

@@ -42,6 +42,24 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dressed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, html): the pages with the meta tags, icon links and second headings that they lack, by page_id."""
+    n = F.col("page_id")
+    say = lambda when, *parts: F.when(when, F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])).otherwise("")
+    head = F.concat(
+        F.lit("<head>"),
+        say(n % 3 == 0, '<META content="Notes &amp; links ', n, '" property="og:title">'),
+        say(n % 4 == 1, "<meta property='og:description' content='On &lt;", n, "&gt;'>"),
+        say((n % 4 == 1) | (n % 4 == 2), '<meta name="description" content=" plain ', n, ' ">'),
+        say(n % 5 == 0, '<meta property="og:site_name" content="Site ', n % 7, '">'),
+        say(n % 2 == 0, '<link rel="shortcut icon" href="/i16.png" sizes="16x16"><link rel="apple-touch-icon" href="/touch.png">'),
+        say(n % 6 == 0, '<link rel="icon" type="image/svg+xml" href="https://cdn.example/s', n % 11, '">'),
+        say(n % 7 == 3, '<link rel="stylesheet" href="/a.css">'),
+    )
+    article = F.concat(F.lit("<article>"), say(n % 3 == 1, "<h2>Part <i>", n, "</i></h2><h2> PART ", n, "</h2>"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.replace(F.replace("html", F.lit("<head>"), head), F.lit("<article>"), article).alias("html"))
+
+
 def existing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An older state of records: a tenth is missing, a seventh has another title, and ten rows have gone since."""
     now = records(spark, sf_dir)

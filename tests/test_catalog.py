@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from fathom.plans import catalog, catalog_live, catalog_more  # noqa: F401  the others register their queries with the first
+from fathom.plans import catalog, catalog_live, catalog_more, catalog_pages  # noqa: F401  the others register their queries with the first
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
