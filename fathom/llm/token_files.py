@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from fathom.llm.bpe import tokenizer_path
 from fathom.llm.common import Stage, in_batches, read
 
 END = 2
+#: Bytes of text that are encoded together: the more, the fewer distinct pieces a byte.
+BATCH = 3_000_000
 #: Writer settings: 32 MB row groups, 64 KB pages, version 2 encodings.
 LAYOUT = {
     "parquet.block.size": str(32 << 20),
@@ -45,6 +48,7 @@ LAYOUT = {
 _LETTERS = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)"
 _WORD = re.compile(_LETTERS).fullmatch
 _ENDED = re.compile(_LETTERS + r"([!-&(-/:-@\[-`{-~]+)").fullmatch
+_SHAPE = "^(?P<word>" + _LETTERS[1:-1] + r")(?P<end>[!-&(-/:-@\[-`{-~]*)$"
 _BLANK = re.compile(r"\s").search
 _FLAT = sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -53,26 +57,28 @@ def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if _FLAT else np.array(ids, "<u4").tobytes()
 
 
-class Held(dict):
-    """Ids of pieces with `lead` before them, found when first asked for; a piece that cannot stand alone raises KeyError.
-
-    At most `most` pieces are held, and as many older ones: of these, the ones not asked for again go.
-    """
-
-    def __init__(self, lead: str, most: int, find):
-        super().__init__()
-        self.lead, self.most, self.find, self.old = lead, most, find, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.old.get(piece)
-        if found is None:
-            if not piece or piece[0].isspace():
-                raise KeyError(piece)
-            found = self.find(piece, self.lead)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = found
+class Held:
+    """Ids of units with `lead` before them: `most` and a batch's, and as many older ones; of these, the ones not asked for again go."""
+
+    def __init__(self, lead: str, most: int):
+        self.lead, self.most, self.new, self.old = lead, most, {}, {}
+
+    def ids(self, units: list[str], find) -> list[bytes]:
+        """Ids of distinct units; `find` gets the list of those that are not held."""
+        found = list(map(self.new.get, units))
+        if None in found:
+            at = [i for i, ids in enumerate(found) if ids is None]
+            asked = [units[i] for i in at]
+            got = list(map(self.old.get, asked))
+            if None in got:
+                unknown = [j for j, ids in enumerate(got) if ids is None]
+                for j, ids in zip(unknown, find([asked[j] for j in unknown], self.lead)):
+                    got[j] = ids
+            if len(self.new) + len(asked) > self.most:
+                self.new, self.old = {}, self.new
+            self.new.update(zip(asked, got))
+            for i, ids in zip(at, got):
+                found[i] = ids
         return found
 
 
@@ -83,11 +89,12 @@ class Pieces:
     is in a run of white space; texts with such runs, or with a special token, go to the library whole. A piece
     between spaces is cut further where the pre-tokeniser cuts too: at single line breaks, and between letters
     and the punctuation that ends them, so `word`, `word,` and `word.` share what the library finds for `word`.
+    Arrow finds the distinct words of a batch; those that are not held go to the library's model in one call.
     """
 
     def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -98,10 +105,17 @@ class Pieces:
         pre = spec["pre_tokenizer"] or {}
         self.cuts = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and spec["post_processor"] in (None, {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True})
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that byte-level files write as themselves
-        self.table = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        self.tokenize, self.shown = self.library.model.tokenize, {x: x.translate(self.table) for x in ("", " ")}
-        self.line = self._whole("\n")
-        self.held = {"": Held("", most // 4, self._find), " ": Held(" ", most, self._find)}
+        other = iter(range(256, 512))
+        letters = [b if b in shown else next(other) for b in range(256)]
+        self.space = chr(letters[ord(" ")])
+        self.table = np.array(letters, "<u4")
+        self.table[ord("\n")] = ord(" ")  # never in a word, so it can stand between words
+        self.model = Tokenizer(self.library.model)  # alone: words as byte-level files write them, between spaces
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.leads = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
+        self.leads[[i for t, i in spec["model"]["vocab"].items() if t.startswith(self.space)]] = True
+        self.held = {"": Held("", most // 4), " ": Held(" ", most)}  # of units
+        self.more = {lead: Held(lead, most // 4) for lead in self.held}  # of pieces that are not letters and what ends them
 
     def _whole(self, text: str) -> bytes:
         return _bytes(self.library.encode(text, add_special_tokens=False).ids)
@@ -121,29 +135,107 @@ class Pieces:
             out += [*(m.groups() if m else (line,)), "\n"]
         return out[:-1]
 
-    def _unit(self, unit: str, lead: str) -> bytes:
-        """Letters alone are one word to the library's model, anything else goes through all of the library."""
-        if not _WORD(unit):
-            return self._whole(lead + unit)
-        shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.table)
-        return _bytes([t.id for t in self.tokenize(self.shown[lead] + shown)])
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters with a space before each. Letters alone are one word to the library's model."""
+        raw = np.frombuffer((" " + "\n ".join(words)).encode(), np.uint8)
+        flat = np.array(self.model.encode_batch_fast([self.table[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.leads[flat])  # only a word's first token begins with the space
+        if len(starts) != len(words) or starts[0]:
+            return [self._whole(" " + w) for w in words]
+        ids, at = flat.tobytes(), (4 * np.append(starts, len(flat))).tolist()
+        return [ids[i:j] for i, j in zip(at, at[1:])]
+
+    def _units(self, units: list[str], lead: str) -> list[bytes]:
+        """Ids of distinct units from the library."""
+        words = [u for u in units if _WORD(u)] if lead else []
+        found = dict(zip(words, self._words(words))) if words else {}
+        return [found[u] if u in found else self._whole(lead + u) for u in units]
+
+    def _pieces(self, pieces: list[str], lead: str) -> list[bytes]:
+        """Ids of distinct pieces of any kind: their first units have `lead` before them."""
+        cuts = [self._cut(p) for p in pieces]
+        first, more = list(dict.fromkeys(c[0] for c in cuts)), list(dict.fromkeys(u for c in cuts for u in c[1:]))
+        first, more = dict(zip(first, self.held[lead].ids(first, self._units))), dict(zip(more, self.held[""].ids(more, self._units)))
+        return [b"".join([first[c[0]], *[more[u] for u in c[1:]]]) for c in cuts]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column without nulls, one after the other, and the number of ids of each text."""
+        if not self.cuts:
+            return self._joined([self._whole(t) for t in column.to_pylist()])
+        parts = pc.split_pattern(column.cast(pa.large_string()), " ")
+        begin = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        values = parts.flatten()
+        named = values.dictionary_encode()
+        codes = named.indices.to_numpy()
+        first = np.zeros(len(codes), bool)
+        first[begin] = True
+        # a piece is letters and punctuation that ends them, or of another kind; a text's first piece has no space before it
+        cut = pc.extract_regex(named.dictionary, pattern=_SHAPE)
+        words, ends = (pc.fill_null(x, "").dictionary_encode() for x in cut.flatten())
+        odd = cut.is_null().to_numpy(zero_copy_only=False)
+        used = np.zeros(len(odd), bool)
+        used[codes[~first]] = True
+        others, firsts = named.dictionary.filter(pa.array(odd & used)).to_pylist(), values.take(pa.array(begin)).to_pylist()
+        starts = list(dict.fromkeys(firsts))
+        entries = [b""]  # then the words, the ends, other pieces, first pieces, and whole texts
+        at_words = len(entries)
+        entries += self._held_words(words.dictionary.to_pylist())
+        at_ends = len(entries)
+        entries += [self._end(e) for e in ends.dictionary.to_pylist()]
+        at_others = len(entries)
+        entries += self._alone(others, " ")
+        at_starts = len(entries)
+        entries += self._alone(starts, "")
+        lone = np.array([x is None for x in entries[at_others:]], bool)
+        head, tail = at_words + words.indices.to_numpy().astype(np.int64), at_ends + ends.indices.to_numpy().astype(np.int64)
+        head[odd], tail[odd] = 0, 0
+        head[odd & used] = at_others + np.arange(len(others))
+        place = dict(zip(starts, range(at_starts, len(entries))))
+        units = np.stack([head[codes], tail[codes]], 1)
+        units[begin] = np.stack([np.array([place[p] for p in firsts], np.int64), np.zeros(len(begin), np.int64)], 1)
+        # texts for the library: all of their ids at the first piece, none at the others
+        whole = np.zeros(len(column), bool)
+        if lone.any():
+            bad = np.zeros(len(entries), bool)
+            bad[at_others:] = lone
+            whole |= np.logical_or.reduceat(bad[units[:, 0]], begin)
+        for token in self.special:
+            whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        if whole.any():
+            rows = np.flatnonzero(whole)
+            units[np.repeat(whole, np.diff(np.append(begin, len(codes))))] = 0
+            units[begin[rows], 0] = len(entries) + np.arange(len(rows))
+            entries += [self._whole(t) for t in column.take(pa.array(rows)).to_pylist()]
+        flat, sizes = self._joined([x or b"" for x in entries])
+        units = units.reshape(-1)
+        offsets, n = (np.cumsum(sizes) - sizes)[units], sizes[units]
+        past = np.cumsum(n)
+        at = np.repeat(offsets - (past - n), n)
+        at += np.arange(len(at))
+        return flat[at], np.add.reduceat(n, 2 * begin) if len(begin) else n[:0]
+
+    def _held_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words of letters, each with a space before it; none for an empty one."""
+        found = self.held[" "].ids([w for w in words if w], lambda new, _: self._words(new))
+        if "" in words:
+            found.insert(words.index(""), b"")
+        return found
 
-    def _find(self, piece: str, lead: str) -> bytes:
-        first, *more = self._cut(piece)
-        if not more:
-            return self._unit(first, lead)
-        return b"".join([self.held[lead][first], *[self.line if u == "\n" else self.held[""][u] for u in more]])
+    def _end(self, end: str) -> bytes:
+        return self.held[""].ids([end], self._units)[0] if end else b""
+
+    def _alone(self, pieces: list[str], lead: str) -> list[bytes | None]:
+        """Ids of distinct pieces of other kinds; None for those that cannot stand alone."""
+        able = [p for p in pieces if p and not p[0].isspace()]
+        found = dict(zip(able, self.more[lead].ids(able, self._pieces)))
+        return [found.get(p) for p in pieces]
+
+    @staticmethod
+    def _joined(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(found), "<i4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.cuts or any(t in text for t in self.special):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        try:
-            return self.held[""][first] + b"".join(map(self.held[" "].__getitem__, rest))
-        except KeyError:
-            return self._whole(text)
+        return self.encode(pa.array([text], pa.string()))[0].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -156,13 +248,12 @@ def pieces_for(path: str) -> Pieces:
 def _encode(path: str, end: int):
     def run(batches):
         pieces, start = pieces_for(path), 0
-        for batch in in_batches(batches, "text"):
-            whole = [t or "" for t in batch.column("text").to_pylist()]
-            last = np.array([end], "<u4").tobytes()
-            found = [pieces(t) + last for t in whole]
-            sizes = np.array([len(x) // 4 for x in found], np.int64)
+        for batch in in_batches(batches, "text", BATCH):
+            found, sizes = pieces.encode(pc.fill_null(batch.column("text"), ""))
             ends = np.cumsum(sizes)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            flat = pa.array(np.insert(found, ends, end))
+            sizes, ends = sizes + 1, ends + np.arange(1, len(ends) + 1)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(start + ends - sizes), pa.array(sizes), ids], ["doc_id", "start_in_part", "n_tokens", "ids"])
             start += int(ends[-1])
 

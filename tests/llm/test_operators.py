@@ -9,6 +9,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,6 +251,39 @@ def test_pieces():
     assert all(np.frombuffer(p(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids for t in odd for p in (pieces, few))
 
 
+def test_pieces_of_a_batch():
+    """Texts of one batch get the library's ids, and words that are new in it go to the library's model in one call."""
+    from tokenizers import Tokenizer
+
+    path = bpe.tokenizer_path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(6)
+    parts = ["Stra\u00dfe", "\u00e9\u0101", "word", "Word,", "word.\nNext", "\n", "don't", "12", "\u4e2d", "x\u0301", "a\n\nb", ",", "", "<|endoftext|>", "\ta", "r\u00e9union!?"]
+    texts = ["", " ", "a", "<|endoftext|>", *[" ".join(rng.choice(parts[: rng.choice([6, 12, 16])]) for _ in range(rng.randrange(1, 9))) for _ in range(2000)]]
+    column = pa.array(["left out", *texts])[1:]
+    for pieces in (token_files.Pieces(path), token_files.Pieces(path, most=5)):
+        for _ in range(2):  # the second time from what is held
+            ids, sizes = pieces.encode(column)
+            want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+            assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+    assert [len(x) for x in token_files.Pieces(path).encode(pa.array([], pa.string()))] == [0, 0]
+
+    class Counted:
+        calls = 0
+
+        def __init__(self, model):
+            self.model = model
+
+        def encode_batch_fast(self, *args, **more):
+            Counted.calls += 1
+            return self.model.encode_batch_fast(*args, **more)
+
+    pieces = token_files.Pieces(path)
+    pieces.model = Counted(pieces.model)
+    texts = ["a " + " ".join("".join(rng.choice("abcde\u00e9") for _ in range(9)) + rng.choice(["", ",", "."]) for _ in range(500)) for _ in range(20)]
+    ids, sizes = pieces.encode(pa.array(texts))
+    assert Counted.calls == 1 and sizes.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 # 5 --- quality
 
 
