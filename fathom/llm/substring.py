@@ -14,8 +14,8 @@ Steps, each over all documents:
    place, the least, is kept as its passage.
 3. Passages and segments go to the shard of their anchor. A shard compiles its passages into an Aho-Corasick
    automaton, and all its segments stream through it: it alone says where in a segment the passages of
-   other segments occur. A window is a pattern of a few symbols, one for each phrase of `_gram(window)` words that it
-   consists of, so its automaton is that much smaller than one over words, and a segment streams through once a phase.
+   other segments occur. A window is a pattern of two symbols, the phrases of half its words, rounded up, that begin and
+   end it, so its automaton is that much smaller than one over words, and a segment streams through once a phase.
    A symbol is its number in the shard, written in DIGIT-fold letters (pyahocorasick looks children up one by one, so no
    node may have many); the first letter of a number is of another alphabet, so no match begins within a number.
    Shards with many passages or segments are cut into blocks, in which every passage meets every segment.
@@ -36,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,9 +135,10 @@ def _windows(window: int):
     return run
 
 
-def _gram(window: int) -> int:
-    """Words a symbol: the largest divisor of a window that is at most half of it."""
-    return next(g for g in range(max(window // 2, 1), 0, -1) if window % g == 0)
+def _phrases(window: int) -> tuple[int, int, int]:
+    """Symbols of a window, the words from one to the next, and the words of each: together they cover the window."""
+    symbols, step = min(window, 2), max(window // 2, 1)
+    return symbols, step, window - (symbols - 1) * step
 
 
 def _by_phase(sizes: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,16 +172,16 @@ def _locate(window: int):
     def run(table: pa.Table) -> pa.Table:
         import ahocorasick
 
-        gram, hashes = _gram(window), word_hashes()
-        symbols = window // gram
+        symbols, step, length = _phrases(window)
+        hashes = word_hashes()
 
         def phrases(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
             flat, counts = [], []
             for at in range(0, len(column), 4000):
                 parts = [t.split() for t in column.slice(at, 4000).to_pylist()]
                 sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-                flat.append(rolling_hashes(hashes([w for p in parts for w in p]), gram)[_starts(sizes, gram)[2]])
-                counts.append(sizes - gram + 1)
+                flat.append(rolling_hashes(hashes([w for p in parts for w in p]), length)[_starts(sizes, length)[2]])
+                counts.append(sizes - length + 1)
             return np.concatenate(flat), np.concatenate(counts)
 
         kind = table.column("kind").to_numpy()
@@ -190,22 +192,22 @@ def _locate(window: int):
             begin = np.cumsum(sizes) - sizes
             offs = passages.column("offs").to_pylist()
             first = np.repeat(begin, [len(x) for x in offs]) + np.array([o for x in offs for o in x], np.int64)
-            pattern = flat[first[:, None] + gram * np.arange(symbols)]
-            known = np.unique(pattern)
+            pattern = pa.array(flat[(first[:, None] + step * np.arange(symbols)).reshape(-1)]).dictionary_encode()
+            known = pattern.dictionary
             digits = -(-len(known).bit_length() // DIGIT)
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
             letters = _letters(len(known), digits)
-            patterns, length = letters[np.searchsorted(known, pattern)].tobytes().decode("latin-1"), symbols * digits
-            for start in range(0, len(patterns), length):
-                automaton.add_word(patterns[start : start + length])
+            patterns, size = letters[pattern.indices.to_numpy()].tobytes().decode("latin-1"), symbols * digits
+            for start in range(0, len(patterns), size):
+                automaton.add_word(patterns[start : start + size])
             automaton.make_automaton()
             for at in range(0, segments.num_rows, 4000):
                 part = segments.slice(at, 4000)
                 flat, sizes = phrases(part.column("seg"))
-                place, to = _by_phase(sizes, gram)
-                where = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                place, to = _by_phase(sizes, step)
+                number = pc.fill_null(pc.index_in(pa.array(flat), value_set=known), len(known)).to_numpy()
                 stream, source = np.zeros((int(to.max()) + 2, digits), np.uint8), np.zeros(int(to.max()) + 2, np.int64)
-                stream[to] = letters[np.where(known[where] == flat, where, len(known))]
+                stream[to] = letters[number]
                 source[to] = np.arange(len(flat))
                 found = automaton.iter(stream.tobytes().decode("latin-1"))
                 ends = np.fromiter((end for end, _ in found), np.int64) // digits

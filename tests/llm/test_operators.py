@@ -569,6 +569,28 @@ def test_passages_are_located_by_the_automaton(corpus):
     assert substring._locate(window)(table.slice(len(patterns))).num_rows == 0
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 35, 37])
+def test_windows_are_two_symbols(window, monkeypatch):
+    """An automaton has at most two symbols' letters a window, also for windows of a prime number of words."""
+    import ahocorasick
+
+    rng, made, whole = random.Random(window), [], ahocorasick.Automaton
+    monkeypatch.setattr(ahocorasick, "Automaton", lambda *kind: made.append(whole(*kind)) or made[-1])
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(400)]
+    offs = list(range(len(words) - window + 1))
+    other = words[7 : 7 + window] + ["x"] + words[50 : 49 + window] + ["y"] + words[90 : 92 + window]
+    rows = [(0, 1, 1, " ".join(words).encode(), offs), (1, 1, 2, " ".join(other).encode(), None)]
+    kinds = [("kind", pa.int32()), ("k", pa.int64()), ("s", pa.int64()), ("seg", pa.binary()), ("offs", pa.list_(pa.int32()))]
+    table = pa.table([pa.array(x, kind) for x, (_, kind) in zip(zip(*rows), kinds)], names=[name for name, _ in kinds])
+    got = {o for r in substring._locate(window)(table).to_pylist() for x in r["runs"] for o in range(x["off"], x["to"])}
+    held = {tuple(words[o : o + window]) for o in offs}
+    assert got == {o for o in range(len(other) - window + 1) if tuple(other[o : o + window]) in held}
+    digits = -(-len(held).bit_length() // substring.DIGIT) + 1
+    assert made[0].get_stats()["nodes_count"] <= 1 + 2 * digits * len(offs)
+    if window > 30:
+        assert made[0].get_stats()["longest_word"] <= 2 * digits
+
+
 def test_passages_in_many_small_blocks(spark, monkeypatch):
     """Blocks of few passages and segments give the same result as one."""
     rng = random.Random(3)
