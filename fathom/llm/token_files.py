@@ -12,13 +12,9 @@ doc_id stay, in the order of a hash of their text; an empty table gives no rows;
 
 from __future__ import annotations
 
-import gc
 import json
 import os
-import re
-import sys
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -45,41 +41,54 @@ LAYOUT = {
 
 
 #: Letters that any version of Unicode knows, and the punctuation that ends them.
-_LETTERS = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)"
-_WORD = re.compile(_LETTERS).fullmatch
-_ENDED = re.compile(_LETTERS + r"([!-&(-/:-@\[-`{-~]+)").fullmatch
-_SHAPE = "^(?P<word>" + _LETTERS[1:-1] + r")(?P<end>[!-&(-/:-@\[-`{-~]*)$"
-_BLANK = re.compile(r"\s").search
-_FLAT = sys.byteorder == "little" and array("I").itemsize == 4
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_SHAPE = "^(?P<word>" + _LETTERS + r")(?P<end>[!-&(-/:-@\[-`{-~]*)$"
 
 
-def _bytes(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes() if _FLAT else np.array(ids, "<u4").tobytes()
+def _binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ids between one end and the next, as bytes."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(4 * ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _joined(entries: pa.Array, at: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The entries `at`, those from each `begin` to the next as one."""
+    _, ends, data = entries.take(pa.array(at)).buffers()
+    ends = np.frombuffer(ends, np.int64)[np.append(begin, len(at))] if len(at) else np.zeros(1, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), data])
 
 
 class Held:
-    """Ids of units with `lead` before them: `most` and a batch's, and as many older ones; of these, the ones not asked for again go."""
+    """Ids of units with `lead` before them, in Arrow: at most `most` and a batch's; past that, those not asked for since the last time go."""
 
     def __init__(self, lead: str, most: int):
-        self.lead, self.most, self.new, self.old = lead, most, {}, {}
-
-    def ids(self, units: list[str], find) -> list[bytes]:
-        """Ids of distinct units; `find` gets the list of those that are not held."""
-        found = list(map(self.new.get, units))
-        if None in found:
-            at = [i for i, ids in enumerate(found) if ids is None]
-            asked = [units[i] for i in at]
-            got = list(map(self.old.get, asked))
-            if None in got:
-                unknown = [j for j, ids in enumerate(got) if ids is None]
-                for j, ids in zip(unknown, find([asked[j] for j in unknown], self.lead)):
-                    got[j] = ids
-            if len(self.new) + len(asked) > self.most:
-                self.new, self.old = {}, self.new
-            self.new.update(zip(asked, got))
-            for i, ids in zip(at, got):
-                found[i] = ids
-        return found
+        self.lead, self.most = lead, most
+        self._keep(pa.array([], pa.large_string()), pa.array([], pa.large_binary()))
+
+    def _keep(self, units: pa.Array, found: pa.Array) -> None:
+        self.units, self.found, self.asked = units, found, np.zeros(len(units), bool)
+
+    def ids(self, units: pa.Array, find) -> pa.Array:
+        """Ids of distinct units; `find` gets those that are not held."""
+        at = np.full(len(units), -1, np.int64)
+        place = pc.index_in(self.units, value_set=units)
+        known = place.is_valid().to_numpy(zero_copy_only=False)
+        at[place.drop_null().to_numpy()] = np.flatnonzero(known)
+        self.asked |= known
+        new = at < 0
+        if new.any():
+            more = units.filter(pa.array(new))
+            at[new] = len(self.units) + np.arange(len(more))
+            self.units = pa.concat_arrays([self.units, more])
+            self.found = pa.concat_arrays([self.found, find(more, self.lead)])
+            self.asked = np.append(self.asked, np.ones(len(more), bool))
+        out = self.found.take(pa.array(at))
+        if len(self.units) > self.most:
+            if self.asked.sum() > self.most:
+                self._keep(units, out)
+            else:
+                last = pa.array(self.asked)
+                self._keep(self.units.filter(last), self.found.filter(last))
+        return out
 
 
 class Pieces:
@@ -89,10 +98,11 @@ class Pieces:
     is in a run of white space; texts with such runs, or with a special token, go to the library whole. A piece
     between spaces is cut further where the pre-tokeniser cuts too: at single line breaks, and between letters
     and the punctuation that ends them, so `word`, `word,` and `word.` share what the library finds for `word`.
-    Arrow finds the distinct words of a batch; those that are not held go to the library's model in one call.
+    Arrow finds the distinct words of a batch, looks up those that are held, and puts the ids of texts together;
+    the other words go to the library's model in one call.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -114,54 +124,57 @@ class Pieces:
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.leads = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
         self.leads[[i for t, i in spec["model"]["vocab"].items() if t.startswith(self.space)]] = True
-        self.held = {"": Held("", most // 4), " ": Held(" ", most)}  # of units
-        self.more = {lead: Held(lead, most // 4) for lead in self.held}  # of pieces that are not letters and what ends them
+        self.words = Held(" ", most)  # letters, with a space before them
+        self.plain = Held("", most // 4)  # letters and punctuation without one
+        self.others = {lead: Held(lead, most // 4) for lead in ("", " ")}  # pieces of other kinds
 
-    def _whole(self, text: str) -> bytes:
-        return _bytes(self.library.encode(text, add_special_tokens=False).ids)
+    def _whole(self, texts: list[str]) -> pa.Array:
+        """Ids of texts, or of units that can stand alone, from the library."""
+        found = [self.library.encode(t, add_special_tokens=False).ids for t in texts]
+        return _binary(np.array([i for ids in found for i in ids], "<i4"), np.cumsum([0, *map(len, found)]))
 
-    @staticmethod
-    def _cut(piece: str) -> list[str]:
-        """Units of a piece that the pre-tokeniser keeps apart in any case; only the first may have a space before it."""
-        if "\n" not in piece:
-            m = _ENDED(piece)
-            return list(m.groups()) if m else [piece]
-        lines = piece.split("\n")
-        if not all(lines) or any(map(_BLANK, lines)):
-            return [piece]
-        out: list[str] = []
-        for line in lines:
-            m = _ENDED(line)
-            out += [*(m.groups() if m else (line,)), "\n"]
-        return out[:-1]
-
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _units(self, units: pa.Array, lead: str) -> pa.Array:
+        return self._whole([lead + u for u in units.to_pylist()])
+
+    def _words(self, words: pa.Array, lead: str = " ") -> pa.Array:
         """Ids of words of letters with a space before each. Letters alone are one word to the library's model."""
-        raw = np.frombuffer((" " + "\n ".join(words)).encode(), np.uint8)
-        flat = np.array(self.model.encode_batch_fast([self.table[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, "<u4")
+        before, after, none = (pa.scalar(x, pa.large_string()) for x in (lead, "\n", ""))
+        raw = np.frombuffer(pc.binary_join_element_wise(before, words, after, none).buffers()[2], np.uint8)
+        flat = np.array(self.model.encode_batch_fast([self.table[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, "<i4")
         starts = np.flatnonzero(self.leads[flat])  # only a word's first token begins with the space
         if len(starts) != len(words) or starts[0]:
-            return [self._whole(" " + w) for w in words]
-        ids, at = flat.tobytes(), (4 * np.append(starts, len(flat))).tolist()
-        return [ids[i:j] for i, j in zip(at, at[1:])]
-
-    def _units(self, units: list[str], lead: str) -> list[bytes]:
-        """Ids of distinct units from the library."""
-        words = [u for u in units if _WORD(u)] if lead else []
-        found = dict(zip(words, self._words(words))) if words else {}
-        return [found[u] if u in found else self._whole(lead + u) for u in units]
-
-    def _pieces(self, pieces: list[str], lead: str) -> list[bytes]:
-        """Ids of distinct pieces of any kind: their first units have `lead` before them."""
-        cuts = [self._cut(p) for p in pieces]
-        first, more = list(dict.fromkeys(c[0] for c in cuts)), list(dict.fromkeys(u for c in cuts for u in c[1:]))
-        first, more = dict(zip(first, self.held[lead].ids(first, self._units))), dict(zip(more, self.held[""].ids(more, self._units)))
-        return [b"".join([first[c[0]], *[more[u] for u in c[1:]]]) for c in cuts]
+            return self._units(words, lead)
+        return _binary(flat, np.append(starts, len(flat)))
+
+    def _shaped(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of those distinct pieces, a space before each, whose lines are letters and what ends them; and which these are."""
+        parts = pc.split_pattern(pieces, "\n")
+        begin = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        cut = pc.extract_regex(parts.flatten(), pattern=_SHAPE)
+        fits = cut.is_valid().to_numpy(zero_copy_only=False)
+        able = np.logical_and.reduceat(fits, begin) if len(begin) else np.zeros(0, bool)
+        n = np.diff(np.append(begin, len(fits)))
+        first = np.zeros(len(fits), bool)
+        first[begin] = True
+        lines = np.repeat(able, n)
+        word, end = cut.filter(pa.array(lines)).flatten()
+        first, n = first[lines], n[able]
+        words = word.filter(pa.array(first)).dictionary_encode()
+        later = word.filter(pa.array(~first))
+        plain = pa.concat_arrays([end, later, pa.array(["", "\n"], pa.large_string())]).dictionary_encode()
+        entries = pa.concat_arrays([self.plain.ids(plain.dictionary, self._units), self.words.ids(words.dictionary, self._words)])
+        codes = plain.indices.to_numpy()
+        units = np.empty((len(first), 3), np.int64)  # a line: its line break, letters, and what ends them
+        units[:, 0] = np.where(first, codes[-2], codes[-1])
+        units[first, 1] = len(plain.dictionary) + words.indices.to_numpy().astype(np.int64)
+        units[~first, 1] = codes[len(end) : -2]
+        units[:, 2] = codes[: len(end)]
+        return _joined(entries, units.reshape(-1), 3 * (np.cumsum(n) - n)), able
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column without nulls, one after the other, and the number of ids of each text."""
-        if not self.cuts:
-            return self._joined([self._whole(t) for t in column.to_pylist()])
+        if not self.cuts or not len(column):
+            return self._flat(self._whole(column.to_pylist()))
         parts = pc.split_pattern(column.cast(pa.large_string()), " ")
         begin = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
         values = parts.flatten()
@@ -169,70 +182,46 @@ class Pieces:
         codes = named.indices.to_numpy()
         first = np.zeros(len(codes), bool)
         first[begin] = True
-        # a piece is letters and punctuation that ends them, or of another kind; a text's first piece has no space before it
-        cut = pc.extract_regex(named.dictionary, pattern=_SHAPE)
-        words, ends = (pc.fill_null(x, "").dictionary_encode() for x in cut.flatten())
-        odd = cut.is_null().to_numpy(zero_copy_only=False)
-        used = np.zeros(len(odd), bool)
+        used = np.zeros(len(named.dictionary), bool)  # a text's first piece has no space before it
         used[codes[~first]] = True
-        others, firsts = named.dictionary.filter(pa.array(odd & used)).to_pylist(), values.take(pa.array(begin)).to_pylist()
-        starts = list(dict.fromkeys(firsts))
-        entries = [b""]  # then the words, the ends, other pieces, first pieces, and whole texts
-        at_words = len(entries)
-        entries += self._held_words(words.dictionary.to_pylist())
-        at_ends = len(entries)
-        entries += [self._end(e) for e in ends.dictionary.to_pylist()]
-        at_others = len(entries)
-        entries += self._alone(others, " ")
-        at_starts = len(entries)
-        entries += self._alone(starts, "")
-        lone = np.array([x is None for x in entries[at_others:]], bool)
-        head, tail = at_words + words.indices.to_numpy().astype(np.int64), at_ends + ends.indices.to_numpy().astype(np.int64)
-        head[odd], tail[odd] = 0, 0
-        head[odd & used] = at_others + np.arange(len(others))
-        place = dict(zip(starts, range(at_starts, len(entries))))
-        units = np.stack([head[codes], tail[codes]], 1)
-        units[begin] = np.stack([np.array([place[p] for p in firsts], np.int64), np.zeros(len(begin), np.int64)], 1)
+        used = np.flatnonzero(used)
+        pieces = named.dictionary.take(pa.array(used))
+        shaped, able = self._shaped(pieces)
+        starts = values.take(pa.array(begin)).dictionary_encode()
+        others, lone = self._alone(pieces.filter(pa.array(~able)), " ")
+        begun, alone = self._alone(starts.dictionary, "")
+        entries = [pa.array([b""], pa.large_binary()), shaped, others, begun]
+        place = np.zeros(len(named.dictionary), np.int64)
+        place[used[able]] = 1 + np.arange(len(shaped))
+        place[used[~able]] = 1 + len(shaped) + np.arange(len(others))
+        at = place[codes]
+        at[begin] = 1 + len(shaped) + len(others) + starts.indices.to_numpy()
         # texts for the library: all of their ids at the first piece, none at the others
         whole = np.zeros(len(column), bool)
-        if lone.any():
-            bad = np.zeros(len(entries), bool)
-            bad[at_others:] = lone
-            whole |= np.logical_or.reduceat(bad[units[:, 0]], begin)
+        if lone.any() or alone.any():
+            whole |= np.logical_or.reduceat(np.concatenate([np.zeros(1 + len(shaped), bool), lone, alone])[at], begin)
         for token in self.special:
             whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
         if whole.any():
             rows = np.flatnonzero(whole)
-            units[np.repeat(whole, np.diff(np.append(begin, len(codes))))] = 0
-            units[begin[rows], 0] = len(entries) + np.arange(len(rows))
-            entries += [self._whole(t) for t in column.take(pa.array(rows)).to_pylist()]
-        flat, sizes = self._joined([x or b"" for x in entries])
-        units = units.reshape(-1)
-        offsets, n = (np.cumsum(sizes) - sizes)[units], sizes[units]
-        past = np.cumsum(n)
-        at = np.repeat(offsets - (past - n), n)
-        at += np.arange(len(at))
-        return flat[at], np.add.reduceat(n, 2 * begin) if len(begin) else n[:0]
-
-    def _held_words(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words of letters, each with a space before it; none for an empty one."""
-        found = self.held[" "].ids([w for w in words if w], lambda new, _: self._words(new))
-        if "" in words:
-            found.insert(words.index(""), b"")
-        return found
-
-    def _end(self, end: str) -> bytes:
-        return self.held[""].ids([end], self._units)[0] if end else b""
-
-    def _alone(self, pieces: list[str], lead: str) -> list[bytes | None]:
-        """Ids of distinct pieces of other kinds; None for those that cannot stand alone."""
-        able = [p for p in pieces if p and not p[0].isspace()]
-        found = dict(zip(able, self.more[lead].ids(able, self._pieces)))
-        return [found.get(p) for p in pieces]
+            at[np.repeat(whole, np.diff(np.append(begin, len(codes))))] = 0
+            at[begin[rows]] = sum(map(len, entries)) + np.arange(len(rows))
+            entries.append(self._whole(column.take(pa.array(rows)).to_pylist()))
+        return self._flat(_joined(pa.concat_arrays(entries), at, begin))
+
+    def _alone(self, pieces: pa.Array, lead: str) -> tuple[pa.Array, np.ndarray]:
+        """Ids of distinct pieces of any kind; and which of them cannot stand alone and have none."""
+        lone = np.array([not p or p[0].isspace() for p in pieces.to_pylist()], bool)
+        found = self.others[lead].ids(pieces.filter(pa.array(~lone)), self._units)
+        place = np.cumsum(~lone) - 1
+        place[lone] = len(found)
+        return pa.concat_arrays([found, pa.array([b""], pa.large_binary())]).take(pa.array(place)), lone
 
     @staticmethod
-    def _joined(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(b"".join(found), "<i4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+    def _flat(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        _, ends, data = found.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(found) + 1] // 4
+        return np.frombuffer(data, "<i4")[ends[0] : ends[-1]] if data else np.zeros(0, "<i4"), np.diff(ends)
 
     def __call__(self, text: str) -> bytes:
         return self.encode(pa.array([text], pa.string()))[0].tobytes()
@@ -241,7 +230,6 @@ class Pieces:
 @lru_cache(maxsize=2)
 def pieces_for(path: str) -> Pieces:
     """One a Python worker: words that one task has met are known to the next."""
-    gc.set_threshold(200_000, 20, 100)  # hundreds of thousands of held strings are no garbage to look through
     return Pieces(path)
 
 
