@@ -244,6 +244,7 @@ def _encode(path: str, end: int):
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(start + ends - sizes), pa.array(sizes), ids], ["doc_id", "start_in_part", "n_tokens", "ids"])
             start += int(ends[-1])
+            pa.default_memory_pool().release_unused()  # else a worker keeps half as much again between batches
 
     return run
 
